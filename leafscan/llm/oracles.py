@@ -1,5 +1,14 @@
 """SQL that DuckDB runs on the same tables."""
 
+OP1 = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to, url
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 1000
+"""
+
 OP3 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hashtree, oracles, rules, simhash
+from . import hashtree, lattice, mixing, oracles, rules, simhash, tiling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,17 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SHARDS = 16
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.documents_scored(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.shard(table(spark, sf_dir, "documents"), hashtree.even_tree(SHARDS), hashtree.even_tree(SHARDS + 1))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_simhash, op10_hash_tree)}
-ORACLES = {"op3_quality_rules": oracles.op3(rules.STOP_WORDS), "op10_hash_tree": oracles.op10(SHARDS)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_rules, op5_mixing, op6_lattice, op8_simhash, op9_tiling, op10_hash_tree)}
+ORACLES = {"op1_warc": oracles.OP1, "op3_quality_rules": oracles.op3(rules.STOP_WORDS), "op10_hash_tree": oracles.op10(SHARDS)}
