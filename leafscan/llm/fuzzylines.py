@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is a part of a text between ``\\n`` that has a word, without the white space around it.  Equal
-lines are one class.  Each class has 24 minimal hashes of its sets of 5 characters (a shorter line is
+lines (by 64-bit XXH3) are one class.  Each class has 24 minimal hashes of its sets of 5 characters (a shorter line is
 one set) in 8 bands of 3: a pair of similarity 0.8 shares a band with probability 0.997.  Lines that
 share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
 it has not connected yet.  Distributed union-find joins the links, and of each component the line
@@ -26,6 +26,8 @@ from .words import SPACES, mixed
 WIDTH = 5
 BANDS, ROWS = 8, 3
 SIMILARITY = 0.8
+#: Rows of a band that a task holds to name its list.
+LONGEST = 1 << 20
 _SLICE = 1 << 18
 _random = np.random.Generator(np.random.PCG64(31))
 _FACTOR = _random.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -38,6 +40,12 @@ def lines_of(text: str | None) -> list[tuple[int, str]]:
     return [(i, s) for i, line in enumerate((text or "").split("\n")) if (s := line.strip(_BLANK))]
 
 
+def _name(line: str) -> int:
+    """A line's class: its XXH3 as a signed long."""
+    h = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def shingles(line: str, width: int = WIDTH) -> set[str]:
     return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
@@ -86,7 +94,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, numbers, digests, fresh, seen = [], [], [], [], set()
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for number, line in lines_of(text):
-                digest = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+                digest = _name(line)
                 ids.append(doc_id)
                 numbers.append(number)
                 digests.append(digest)
@@ -98,21 +106,54 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size[on] = BANDS
         offsets = np.concatenate([[0], np.cumsum(size)])
         bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), bands], ["line", "doc_id", "line_no", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), bands], ["line", "doc_id", "line_no", "bands"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, line) of bands with two different lines or more; rows sorted by (band, line)."""
-    for table in runs(batches, ("band",)):
-        band, line = table.column("band").to_numpy(), table.column("line").to_numpy()
-        new = np.ones(len(band), bool)
-        new[1:] = (band[1:] != band[:-1]) | (line[1:] != line[:-1])
-        keep = np.flatnonzero(new)
-        edge = np.flatnonzero(np.concatenate([[True], band[keep][1:] != band[keep][:-1]]))
-        size = np.diff(np.append(edge, len(keep)))
-        keep = keep[np.repeat(size > 1, size)]
-        if len(keep):
-            yield from table.select(["band", "line"]).take(pa.array(keep)).combine_chunks().to_batches()
+def _shared(longest: int):
+    """(list, line) of bands with two different lines or more; rows sorted by (band, line).
+
+    A list's number is a hash of its lines, so lists that several bands give alike become one.  A band
+    over ``longest`` rows is not held: its rows pass on under the band's own number.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last, passing = None, False
+
+        def rows(number: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(line)], ["list", "line"])
+
+        def closed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            line = np.concatenate(parts)
+            line = line[np.concatenate([[True], line[1:] != line[:-1]])]
+            if len(line) < 2:
+                return line[:0], line[:0]
+            number = mixed(np.array([mixed(line.view(np.uint64)).sum() + np.uint64(len(line))], np.uint64)).view(np.int64)
+            return np.repeat(number, len(line)), line
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, line = (batch.column(k).to_numpy() for k in (0, 1))
+            edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            out = []
+            for first, end in zip(edge, np.append(edge[1:], len(band)), strict=True):
+                if band[first] != last:
+                    if held and not passing:
+                        out.append(closed(held))
+                    held, passing, last = [], False, band[first]
+                held.append(line[first:end])
+                if passing or sum(map(len, held)) > longest:
+                    passing = True
+                    part = np.unique(np.concatenate(held))
+                    out.append((np.full(len(part), last), part))
+                    held = [line[:0]]
+            if out:
+                yield rows(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
+        if held and not passing:
+            yield rows(*closed(held))
+
+    return kernel
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,22 +162,24 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {}
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             numbers = {w["line_no"] for w in wanted}
-            digests = {bytes(w["line"]) for w in wanted}
+            names = {w["line"] for w in wanted}
             for number, line in lines_of(text):
-                if number in numbers and (d := xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))) in digests:
+                if number in numbers and (d := _name(line)) in names:
                     found[d] = line
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.string())], ["line", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], ["line", "text"])
 
 
 def _verified(limit: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ("band", "cell")):
+        for table in runs(batches, ("list", "cell")):
             line, text = table.column("line").to_pylist(), table.column("text").to_pylist()
             cell, side = table.column("cell").to_numpy(), table.column("side").to_numpy()
-            out: list[tuple[bytes, bytes]] = []
-            for first, size in zip(*bounds(table, ("band", "cell")), strict=True):
+            out: list[tuple[int, int]] = []
+            for first, size in zip(*bounds(table, ("list", "cell")), strict=True):
                 if size < 2:
                     continue
+                if len(set(line[first : first + size])) < 2:
+                    continue
                 sets = [shingles(t) for t in text[first : first + size]]
                 amount = np.fromiter(map(len, sets), np.int64, size)
                 label, both = np.arange(size), one_block(int(cell[first]))
@@ -149,7 +192,7 @@ def _verified(limit: float):
                         if label[j] != label[i] and similarity(sets[i], sets[j]) >= limit:
                             out.append((line[first + i], line[first + j]))
                             label[label == label[j]] = label[i]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return kernel
 
@@ -162,17 +205,17 @@ def deduplicated(docs: DataFrame, limit: float = SIMILARITY, block: int = BLOCK)
     """
     bounded_batches(docs.sparkSession)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = saved(held.mapInArrow(_lines, "line binary, doc_id long, line_no int, bands array<long>"), "lines")
+    lines = saved(held.mapInArrow(_lines, "line long, doc_id long, line_no int, bands array<long>"), "lines")
     classes = saved(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("place")), "classes")
     postings = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "line")
-    shared = saved(postings.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_shared, "band long, line binary"), "shared-bands")
-    places = shared.select("line").distinct().join(classes, "line").select(F.col("place.doc_id").alias("doc_id"), F.struct(F.col("place.line_no").alias("line_no"), "line").alias("w"))
+    found = postings.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_shared(LONGEST), "list long, line long")
+    lists = saved(found.distinct(), "lists")
+    places = lists.select("line").distinct().join(classes, "line").select(F.col("place.doc_id").alias("doc_id"), F.struct(F.col("place.line_no").alias("line_no"), "line").alias("w"))
     wanted = places.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    fetched = held.join(wanted, held["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-    texts = saved(fetched.mapInArrow(_fetch, "line binary, text string").groupBy("line").agg(F.min("text").alias("text")), "line-texts")
-    lists = dealt(shared, "band", "line", block).join(texts, "line")
-    ordered = lists.repartition("band", "cell").sortWithinPartitions("band", "cell").select("band", "cell", "side", "line", "text")
-    found = components(ordered.mapInArrow(_verified(limit), "a binary, b binary")).withColumnRenamed("node", "line")
+    fetched = held.join(wanted, held["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInArrow(_fetch, "line long, text string")
+    listed = dealt(lists, "list", "line", block).join(fetched, "line")
+    ordered = listed.repartition("list", "cell").sortWithinPartitions("list", "cell").select("list", "cell", "side", "line", "text")
+    found = components(ordered.mapInArrow(_verified(limit), "a long, b long")).withColumnRenamed("node", "line")
     rooted = saved(classes.join(found, "line", "left").select("line", F.coalesce("component", "line").alias("root"), "place"), "rooted")
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     named = rooted.join(keepers, "root").select("line", "keeper")
