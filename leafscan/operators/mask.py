@@ -92,7 +92,7 @@ def undetected(parts: DataFrame, blocks: DataFrame, key: str, share: float = 0.5
     """Components of whose box no block covers ``share`` or more; without any block all stay."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     b = blocks.select(key, *[F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")])
-    common = g.intersection(g.box(), g.box("b"))
+    common = F.when(F.col("bx1").isNotNull(), g.intersection(g.box(), g.box("b")))  # least() passes over nulls
     best = parts.join(b, key, "left").groupBy(*parts.columns).agg(F.coalesce(F.max(common), F.lit(-1.0)).alias("best"))
     return best.where(F.col("best") / w / h < share).select(*parts.columns)
 

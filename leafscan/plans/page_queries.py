@@ -269,7 +269,7 @@ def conn_comp(f):
 @R.add(f"""{_PARTS}
 SELECT c.vec_id, part, x1, y1, x2, y2 FROM (SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY root) AS INTEGER) AS part, area, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM box) c
 LEFT JOIN (SELECT vec_id, k, (vec_id + k) % 5 AS bx1, vec_id % 6 AS by1, (vec_id + k) % 5 + 4 AS bx2, vec_id % 6 + 4 AS by2 FROM embeddings CROSS JOIN (SELECT unnest([0, 1]) AS k) WHERE vec_id % 3 > 0) b ON c.vec_id = b.vec_id
-WHERE area > 2 GROUP BY ALL HAVING coalesce(max(CASE WHEN least(x2, bx2) < greatest(x1, bx1) OR least(y2, by2) < greatest(y1, by1) THEN -1 ELSE (least(x2, bx2) - greatest(x1, bx1)) * (least(y2, by2) - greatest(y1, by1)) END), -1) / (x2 - x1) / (y2 - y1) < 0.5""")
+WHERE area > 2 GROUP BY ALL HAVING coalesce(max(CASE WHEN bx1 IS NULL THEN -1 WHEN least(x2, bx2) < greatest(x1, bx1) OR least(y2, by2) < greatest(y1, by1) THEN -1 ELSE (least(x2, bx2) - greatest(x1, bx1)) * (least(y2, by2) - greatest(y1, by1)) END), -1) / (x2 - x1) / (y2 - y1) < 0.5""")
 def undetected_components(f):
     parts = _parts(f).where("area > 2").select("vec_id", "part", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     blocks = f.embeddings.where("vec_id % 3 > 0").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))

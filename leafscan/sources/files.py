@@ -45,7 +45,7 @@ def listing(spark: SparkSession, root: str, content: bool = False, names: str |
     """(name relative to root, bytes) of all files below, in name order; ``names``: a pattern the name must match."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1] + "/"
-    name = F.substring_index("path", F.lit(base), -1)
+    name = F.substring_index("path", base, -1)
     out = found.select(name.alias("name"), F.col("length").alias("bytes"), *(["content"] if content else []))
     return (out.where(F.col("name").rlike(names)) if names else out).orderBy("name")
 
