@@ -36,7 +36,7 @@ HELD_WORDS = 1 << 18
 #: Words of more bytes than this are cut into parts of it for the lattice, their products taken; whole-word arcs are not cut.
 PART = 256
 LONGEST_PIECE = 16
-FLUSH = 30_000
+FLUSH = 100_000
 PRIOR = 0.5
 LN10 = math.log(10)
 
