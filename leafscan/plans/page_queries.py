@@ -341,7 +341,7 @@ def catalog_upsert(f):
 
 
 #: Package names for the deny-list query.
-_PACKAGES = ("torch", "Torch-sub", "torchx", "numpy", "onnxruntime_gpu", "transformers.extra", "tokenizers2", "mokuro", "cv2")
+_PACKAGES = ("torch", "Torch-sub", "torchx", "numpy", "onnxruntime_gpu", "transformers.extra", "tokenizers2", "fugashi", "cv2")
 _PICK = "[" + ", ".join(f"'{p}'" for p in _PACKAGES) + "]"
 
 
