@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is a part of a text between ``\\n`` that has a word, without the white space around it.  Equal
-lines (by 64-bit XXH3) are one class.  Each class has 24 minimal hashes of its sets of 5 characters (a shorter line is
-one set) in 8 bands of 3: a pair of similarity 0.8 shares a band with probability 0.997.  Lines that
-share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
+lines (by 64-bit XXH3) are one class.  Each class has 40 minimal hashes of its sets of 5 characters
+(a shorter line is one set) in 10 bands of 4: a pair of similarity 0.8 shares a band with probability
+0.995.  Lines that share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
 it has not connected yet.  Distributed union-find joins the links, and of each component the line
 with the least (doc_id, line_no) is kept.
 """
@@ -24,14 +24,14 @@ from .storage import bounded_batches, saved
 from .words import SPACES, mixed
 
 WIDTH = 5
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
 #: Rows of a band that a task holds to name its list.
 LONGEST = 1 << 20
 _SLICE = 1 << 18
 _random = np.random.Generator(np.random.PCG64(31))
 _FACTOR = _random.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
+_POINT = _random.integers(0, 2**63, 1 << 16, np.uint64)
 _BLANK = SPACES.decode()
 
 
@@ -66,19 +66,22 @@ def bands_of(lines: list[str]) -> np.ndarray:
             end += 1
         some = lines[begin:end]
         size = np.fromiter(map(len, some), np.int64, len(some))
-        points = np.frombuffer("".join(s + "\0" * WIDTH for s in some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        points = np.frombuffer("".join(s + "\0" * WIDTH for s in some).encode("utf-32-le", "surrogatepass"), np.uint32)
         base = np.cumsum(size + WIDTH) - size - WIDTH
         h = np.zeros(len(points), np.uint64)
-        spread = mixed(points + np.uint64(1))
+        spread = _POINT[points & 0xFFFF]
+        far = np.flatnonzero(points >> 16)
+        spread[far] = mixed(points[far].astype(np.uint64))
         for j in range(WIDTH):
-            h[: len(h) - j] = h[: len(h) - j] * np.uint64(0xD6E8FEB86659FD93) + spread[j:]
+            h[: len(h) - j] *= np.uint64(0xD6E8FEB86659FD93)
+            h[: len(h) - j] += spread[j:]
         number = np.maximum(1, size - WIDTH + 1)
         first = np.cumsum(number) - number
         at = np.arange(int(number.sum())) + np.repeat(base - first, number)
-        value = (mixed(h[at]) >> np.uint64(32)).astype(np.uint32)
+        value = ((h[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         least = np.empty((len(some), BANDS * ROWS), np.uint64)
         for k in range(BANDS * ROWS):
-            least[:, k] = np.minimum.reduceat((value ^ _FLIP[k]) * _FACTOR[k], first)
+            least[:, k] = np.minimum.reduceat(value * _FACTOR[k], first)
         for b in range(BANDS):
             key = np.full(len(some), b + 1, np.uint64)
             for r in range(ROWS):
@@ -136,6 +139,13 @@ def _shared(longest: int):
                 continue
             band, line = (batch.column(k).to_numpy() for k in (0, 1))
             edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            size = np.diff(np.append(edge, len(band)))
+            # bands of one row end here, but for the first and last of a batch, which may go on
+            keep = size > 1
+            keep[[0, -1]] = True
+            keep = np.repeat(keep, size)
+            band, line = band[keep], line[keep]
+            edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
             out = []
             for first, end in zip(edge, np.append(edge[1:], len(band)), strict=True):
                 if band[first] != last:
