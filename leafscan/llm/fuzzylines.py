@@ -1,9 +1,9 @@
 """Fuzzy line deduplication by MinHash.
 
 A line is a part of a text between ``\\n`` that has a word, without the white space around it.  Equal
-lines (by 64-bit XXH3) are one class.  Each class has 40 minimal hashes of its sets of 5 characters
-(a shorter line is one set) in 10 bands of 4: a pair of similarity 0.8 shares a band with probability
-0.995.  Lines that share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
+lines (by 64-bit XXH3) are one class.  Each class has 70 minimal hashes of its sets of 5 characters
+(a shorter line is one set) in 14 bands of 5: a pair of similarity 0.8 shares a band with probability
+0.996.  Lines that share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
 it has not connected yet.  Distributed union-find joins the links, and of each component the line
 with the least (doc_id, line_no) is kept.
 """
@@ -24,7 +24,7 @@ from .storage import bounded_batches, saved
 from .words import SPACES, mixed
 
 WIDTH = 5
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 14, 5
 SIMILARITY = 0.8
 #: Rows of a band that a task holds to name its list.
 LONGEST = 1 << 20
