@@ -156,7 +156,7 @@ def split_cuts(f):
 @R.add(None)
 def beam_search(f):
     crops = f.embeddings.select(F.col("vec_id").alias("crop_id"), F.transform("embedding", lambda e: e * 8).alias("hidden"))
-    return decode.decoded(crops, start=2, end=3, max_length=24).select("crop_id", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+    return decode.decoded(crops, start=2, end=3).select("crop_id", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
 @R.add(f"SELECT label AS tensor, max(abs(e - round(e, 3))) AS max_abs, max(abs(e - round(e, 3))) <= 0.001 AS ok FROM (SELECT label, unnest(embedding)::DOUBLE AS e FROM embeddings) GROUP BY label")
