@@ -3,7 +3,9 @@
 Each round turns links into links to the smallest neighbour, first for the larger ends (large star),
 then for the smaller ends (small star); the number of rounds grows with the logarithm of the longest
 path.  All work is joins and aggregates with map-side combining.  A hub that holds a third of the
-links is one key of a sort-merge join, whose partitions adaptive execution splits.
+links is one key of a sort-merge join.  Both sides of each join are shuffled for it alone (the least
+neighbours under a new name), so adaptive execution can split the hub's partition and repeat the one
+row that meets it.
 """
 
 from __future__ import annotations
@@ -30,10 +32,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark[0] == 0:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(_apart("u").alias("w"), F.least("u", "m").alias("m"))
+        larger = both.where("v > u")
+        large = larger.join(least, larger["u"] == least["w"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        apart = least.select(_apart("u").alias("w"), "m")
+        held = large.select(_apart("u").alias("u"), "v")
+        small = held.join(apart, held["u"] == apart["w"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = saved(small, "links")
         was, mark = mark, _mark(after)
@@ -47,6 +52,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _apart(c: str):
+    """The same value as an expression of its own, which no partitioning by ``c`` serves."""
+    return F.col(c).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and two sums that stay the same only when the links do."""
     h = F.xxhash64("u", "v")
