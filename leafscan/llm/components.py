@@ -5,20 +5,46 @@ then for the smaller ends (small star); the number of rounds grows with the loga
 path.  All work is joins and aggregates with map-side combining.  A hub that holds a third of the
 links is one key of a sort-merge join.  Both sides of each join are shuffled for it alone (the least
 neighbours under a new name), so adaptive execution can split the hub's partition and repeat the one
-row that meets it.
+row that meets it.  Sets of up to ``HELD_LINKS`` links, 16 MB, are joined by union-find in one task
+instead, with the same result and without the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import discard, saved
 
 MAX_ROUNDS = 100
+HELD_LINKS = 1 << 20
+
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links, each u > v."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    up = np.arange(len(nodes))
+    while True:  # the larger root of each link hangs on the least root it meets, then all paths are cut to one step
+        a, b = up[u], up[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], ["node", "component"])
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def components(links: DataFrame, a: str = "a", b: str = "b", held_links: int = HELD_LINKS) -> DataFrame:
     """``(node, component)`` for every node of a link; component is the smallest node reachable.
 
     Nulls, self-links and repeated links have no effect; no link gives no row.
@@ -28,6 +54,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         "links",
     )
     mark = _mark(edges)
+    if mark[0] <= held_links:
+        out = saved(edges.coalesce(1).mapInArrow(_united, "node long, component long"), "components")
+        discard(edges)
+        return out
     for _ in range(MAX_ROUNDS):
         if mark[0] == 0:
             break

@@ -12,9 +12,11 @@ def test_equals_union_find(spark):
     for a, b in links:
         if a is not None and b is not None and a != b:
             groups.join(a, b)
-    got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {(x, groups.find(x)) for x in list(groups.up)}
+    for held in (1 << 20, 0):
+        got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long"), held_links=held).collect()}
+        assert got == {(x, groups.find(x)) for x in list(groups.up)}
 
 
 def test_no_links(spark):
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for held in (1 << 20, -1):
+        assert components(spark.createDataFrame([], "a long, b long"), held_links=held).count() == 0
