@@ -3,8 +3,8 @@
 A line is a part of a text between ``\\n`` that has a word, without the white space around it.  Equal
 lines (by 64-bit XXH3) are one class.  Each class has 70 minimal hashes of its sets of 5 characters
 (a shorter line is one set) in 14 bands of 5: a pair of similarity 0.8 shares a band with probability
-0.996.  Lines that share a band are compared by exact Jaccard similarity; a band's list reports links that connect what
-it has not connected yet.  Distributed union-find joins the links, and of each component the line
+0.996.  Lines that share a band are compared by exact Jaccard similarity, on
+sorted 45-bit hashes of the sets; longer lists report links that connect what they have not connected yet.  Distributed union-find joins the links, and of each component the line
 with the least (doc_id, line_no) is kept.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, bounds, dealt, one_block, runs
 from .components import components
-from .storage import bounded_batches, saved
+from .storage import bounded_batches, discard, saved
 from .words import SPACES, mixed
 
 WIDTH = 5
@@ -29,6 +29,12 @@ SIMILARITY = 0.8
 #: Rows of a band that a task holds to name its list.
 LONGEST = 1 << 20
 _SLICE = 1 << 18
+#: Bits of a set's hash; the bits above number the lines or pairs of a slice.
+_BITS = np.uint64(45)
+#: Lines that a task keeps in mind in order not to send them twice.
+REMEMBERED = 1 << 18
+#: Lists up to this long are compared pair by pair, all of a batch at once.
+SMALL = 8
 _random = np.random.Generator(np.random.PCG64(31))
 _FACTOR = _random.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _POINT = _random.integers(0, 2**63, 1 << 16, np.uint64)
@@ -55,30 +61,42 @@ def similarity(a: set[str], b: set[str]) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def bands_of(lines: list[str]) -> np.ndarray:
-    """int64 band keys, BANDS for each line."""
-    out = np.empty((len(lines), BANDS), np.int64)
+def _slices(lines: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, lines) in slices of about _SLICE characters."""
     begin = 0
     while begin < len(lines):
         end, total = begin, 0
         while end < len(lines) and (end == begin or total + len(lines[end]) < _SLICE):
             total += len(lines[end]) + WIDTH
             end += 1
-        some = lines[begin:end]
-        size = np.fromiter(map(len, some), np.int64, len(some))
-        points = np.frombuffer("".join(s + "\0" * WIDTH for s in some).encode("utf-32-le", "surrogatepass"), np.uint32)
-        base = np.cumsum(size + WIDTH) - size - WIDTH
-        h = np.zeros(len(points), np.uint64)
-        spread = _POINT[points & 0xFFFF]
-        far = np.flatnonzero(points >> 16)
-        spread[far] = mixed(points[far].astype(np.uint64))
-        for j in range(WIDTH):
-            h[: len(h) - j] *= np.uint64(0xD6E8FEB86659FD93)
-            h[: len(h) - j] += spread[j:]
-        number = np.maximum(1, size - WIDTH + 1)
-        first = np.cumsum(number) - number
-        at = np.arange(int(number.sum())) + np.repeat(base - first, number)
-        value = ((h[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        yield begin, lines[begin:end]
+        begin = end
+
+
+def _hashes(some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every set of WIDTH characters, first of each line, number of each line)."""
+    size = np.fromiter(map(len, some), np.int64, len(some))
+    points = np.frombuffer("".join(s + "\0" * WIDTH for s in some).encode("utf-32-le", "surrogatepass"), np.uint32)
+    base = np.cumsum(size + WIDTH) - size - WIDTH
+    h = np.zeros(len(points), np.uint64)
+    spread = _POINT[points & 0xFFFF]
+    far = np.flatnonzero(points >> 16)
+    spread[far] = mixed(points[far].astype(np.uint64))
+    for j in range(WIDTH):
+        h[: len(h) - j] *= np.uint64(0xD6E8FEB86659FD93)
+        h[: len(h) - j] += spread[j:]
+    number = np.maximum(1, size - WIDTH + 1)
+    first = np.cumsum(number) - number
+    at = np.arange(int(number.sum())) + np.repeat(base - first, number)
+    return h[at], first, number
+
+
+def bands_of(lines: list[str]) -> np.ndarray:
+    """int64 band keys, BANDS for each line."""
+    out = np.empty((len(lines), BANDS), np.int64)
+    for begin, some in _slices(lines):
+        h, first, _ = _hashes(some)
+        value = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         least = np.empty((len(some), BANDS * ROWS), np.uint64)
         for k in range(BANDS * ROWS):
             least[:, k] = np.minimum.reduceat(value * _FACTOR[k], first)
@@ -86,30 +104,46 @@ def bands_of(lines: list[str]) -> np.ndarray:
             key = np.full(len(some), b + 1, np.uint64)
             for r in range(ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, b * ROWS + r])
-            out[begin:end, b] = key.view(np.int64)
-        begin = end
+            out[begin : begin + len(some), b] = key.view(np.int64)
     return out
 
 
+def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of the lines' sets of characters, sorted in each line; ends of each line's, from 0)."""
+    held, amount = [], [np.zeros(1, np.int64)]
+    for _, some in _slices(lines):
+        h, _, number = _hashes(some)
+        owner = np.repeat(np.arange(len(some), dtype=np.uint64), number)
+        both = np.sort(owner << _BITS | mixed(h) >> np.uint64(64 - int(_BITS)))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        held.append(both & ((np.uint64(1) << _BITS) - np.uint64(1)))
+        amount.append(np.bincount((both >> _BITS).astype(np.int64), minlength=len(some)))
+    return np.concatenate([np.empty(0, np.uint64), *held]), np.cumsum(np.concatenate(amount))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line; bands at its first occurrence in a batch."""
+    """The place of every line."""
     for batch in batches:
-        ids, numbers, digests, fresh, seen = [], [], [], [], set()
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for number, line in lines_of(text):
-                digest = _name(line)
-                ids.append(doc_id)
-                numbers.append(number)
-                digests.append(digest)
-                fresh.append(None if digest in seen else line)
-                seen.add(digest)
-        on = [k for k, line in enumerate(fresh) if line is not None]
-        keys = bands_of([fresh[k] for k in on])
-        size = np.zeros(len(ids), np.int64)
-        size[on] = BANDS
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), bands], ["line", "doc_id", "line_no", "bands"])
+        found = [(_name(line), doc_id, number) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for number, line in lines_of(text)]
+        columns = list(zip(*found, strict=True)) if found else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["line", "doc_id", "line_no"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, line); a line that a task meets again within REMEMBERED others is passed over."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh: dict[int, str] = {}
+        for text in batch.column(0).to_pylist():
+            for _, line in lines_of(text):
+                name = _name(line)
+                if name not in seen:
+                    seen.add(name)
+                    fresh[name] = line
+        keys = bands_of(list(fresh.values()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(fresh, np.int64, len(fresh)), BANDS))], ["band", "line"])
+        if len(seen) > REMEMBERED:
+            seen.clear()
 
 
 def _shared(longest: int):
@@ -179,30 +213,89 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.string())], ["line", "text"])
 
 
+def _similar(h: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray, limit: float) -> np.ndarray:
+    """Whether sets i[k] and j[k] have Jaccard similarity ``limit`` or more."""
+    amount = np.diff(ends)
+    out = np.minimum(amount[i], amount[j]) >= limit * np.maximum(amount[i], amount[j])
+    at = np.flatnonzero(out)
+    both = amount[i[at]] + amount[j[at]]
+    cuts = np.searchsorted(np.cumsum(both), np.arange(_SLICE, int(both.sum()) + _SLICE, _SLICE)) if len(at) else []
+    for some in np.split(at, np.unique(cuts)):
+        if not len(some):
+            continue
+        side = np.stack([i[some], j[some]], axis=1).ravel()
+        n = amount[side]
+        take = np.arange(int(n.sum())) + np.repeat(ends[side] - (np.cumsum(n) - n), n)
+        pair = np.repeat(np.arange(len(side), dtype=np.uint64) // np.uint64(2), n)
+        value = np.sort(pair << _BITS | h[take])
+        twice = value[1:][value[1:] == value[:-1]]
+        common = np.bincount((twice >> _BITS).astype(np.int64), minlength=len(some))
+        out[some] = common >= limit * (amount[i[some]] + amount[j[some]] - common)
+    return out
+
+
+#: Lists of so many rows times distinct sets are counted as one matrix.
+_DENSE = 1 << 21
+
+
+def _spanning(h: np.ndarray, ends: np.ndarray, side: np.ndarray | None, limit: float) -> list[tuple[int, int]]:
+    """Links of one list that connect it as all its links do; with ``side`` only rows of different sides are compared."""
+    amount = np.diff(ends)
+    n = len(amount)
+    owner = np.repeat(np.arange(n), amount)
+    _, token = np.unique(h, return_inverse=True)
+    kinds = int(token.max()) + 1
+    order = np.argsort(token, kind="stable")
+    held, first = owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
+    table = None
+    if n * kinds <= _DENSE:
+        has = np.zeros((n, kinds), np.float32)
+        has[owner, token] = 1
+        table = np.rint(has @ has.T).astype(np.int64)
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        near = (label != label[i]) & (np.arange(n) > i) & (np.minimum(amount, amount[i]) >= limit * np.maximum(amount, amount[i]))
+        if side is not None:
+            near &= side != side[i]
+        if not near.any():
+            continue
+        common = table[i] if table is not None else np.bincount(np.concatenate([held[first[t] : first[t + 1]] for t in token[ends[i] : ends[i + 1]].tolist()]), minlength=n)
+        near &= common >= limit * (amount + amount[i] - common)
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
 def _verified(limit: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ("list", "cell")):
-            line, text = table.column("line").to_pylist(), table.column("text").to_pylist()
+            name, back = np.unique(table.column("line").to_numpy(), return_index=True)
+            mine = np.searchsorted(name, table.column("line").to_numpy())
+            h, ends = sets_of(table.column("text").take(pa.array(back)).to_pylist())
             cell, side = table.column("cell").to_numpy(), table.column("side").to_numpy()
-            out: list[tuple[int, int]] = []
-            for first, size in zip(*bounds(table, ("list", "cell")), strict=True):
-                if size < 2:
-                    continue
-                if len(set(line[first : first + size])) < 2:
-                    continue
-                sets = [shingles(t) for t in text[first : first + size]]
-                amount = np.fromiter(map(len, sets), np.int64, size)
-                label, both = np.arange(size), one_block(int(cell[first]))
-                s = side[first : first + size]
-                for i in range(size - 1):
-                    near = (label[i + 1 :] != label[i]) & (np.minimum(amount[i + 1 :], amount[i]) >= limit * np.maximum(amount[i + 1 :], amount[i]))
-                    if not both:
-                        near &= s[i + 1 :] != s[i]
-                    for j in (np.flatnonzero(near) + i + 1).tolist():
-                        if label[j] != label[i] and similarity(sets[i], sets[j]) >= limit:
-                            out.append((line[first + i], line[first + j]))
-                            label[label == label[j]] = label[i]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            edge, size = bounds(table, ("list", "cell"))
+            group = np.repeat(np.arange(len(size)), size)
+            few = np.repeat(size <= SMALL, size)
+            pairs = []
+            for d in range(1, SMALL):
+                i = np.flatnonzero((group[:-d] == group[d:]) & few[:-d]) if len(group) > d else np.empty(0, np.int64)
+                whole = (cell[i] < 0) | (cell[i] >> 32 == cell[i] & 0xFFFFFFFF) | (side[i] != side[i + d])
+                i = i[whole & (mine[i] != mine[i + d])]
+                pairs.append(np.sort(np.stack([mine[i], mine[i + d]]), axis=0))
+            found = np.unique(np.concatenate(pairs, axis=1), axis=1)  # a pair of several lists counts once
+            found = found[:, _similar(h, ends, found[0], found[1], limit)]
+            links = [(name[found[0]], name[found[1]])]
+            for k in np.flatnonzero(size > SMALL):
+                rows = mine[edge[k] : edge[k] + size[k]]
+                n = np.diff(ends)[rows]
+                take = np.arange(int(n.sum())) + np.repeat(ends[rows] - (np.cumsum(n) - n), n)
+                whole = one_block(int(cell[edge[k]]))
+                some = _spanning(h[take], np.concatenate([[0], np.cumsum(n)]), None if whole else side[edge[k] : edge[k] + size[k]], limit)
+                if some:
+                    links.append(tuple(name[rows[np.array(x)]] for x in zip(*some, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links, strict=True)], ["a", "b"])
 
     return kernel
 
@@ -211,13 +304,14 @@ def deduplicated(docs: DataFrame, limit: float = SIMILARITY, block: int = BLOCK)
     """(doc_id, line_no, keeper_doc_id, keeper_line_no, kept) for every line that has a word.
 
     Null and empty texts have no line.  Rows with equal doc_id count as one text: equal places are
-    kept or dropped together.  A null doc_id comes before all others.
+    kept or dropped together.  A null doc_id comes before all others.  Very long texts and lines are
+    read whole; an empty table gives no rows; other columns are not read, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = saved(held.mapInArrow(_lines, "line long, doc_id long, line_no int, bands array<long>"), "lines")
+    lines = saved(held.mapInArrow(_lines, "line long, doc_id long, line_no int"), "lines")
     classes = saved(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("place")), "classes")
-    postings = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "line")
+    postings = held.select("text").mapInArrow(_postings, "band long, line long")
     found = postings.repartition("band").sortWithinPartitions("band", "line").mapInArrow(_shared(LONGEST), "list long, line long")
     lists = saved(found.distinct(), "lists")
     places = lists.select("line").distinct().join(classes, "line").select(F.col("place.doc_id").alias("doc_id"), F.struct(F.col("place.line_no").alias("line_no"), "line").alias("w"))
@@ -226,7 +320,9 @@ def deduplicated(docs: DataFrame, limit: float = SIMILARITY, block: int = BLOCK)
     listed = dealt(lists, "list", "line", block).join(fetched, "line")
     ordered = listed.repartition("list", "cell").sortWithinPartitions("list", "cell").select("list", "cell", "side", "line", "text")
     found = components(ordered.mapInArrow(_verified(limit), "a long, b long")).withColumnRenamed("node", "line")
+    discard(lists)
     rooted = saved(classes.join(found, "line", "left").select("line", F.coalesce("component", "line").alias("root"), "place"), "rooted")
+    discard(classes)
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     named = rooted.join(keepers, "root").select("line", "keeper")
     out = lines.select("line", "doc_id", "line_no").join(named, "line")
