@@ -79,3 +79,9 @@ def split_cuts(density: Column, count: Column, height: int = 64, window: int = 2
         return let(F.slice(density, low + 1, high - low), lambda part: low + F.array_position(part, F.array_min(part)).cast("int") - 1)
 
     return F.when(count > 1, F.transform(F.sequence(F.lit(1), count - 1), cut)).otherwise(F.array().cast("array<int>"))
+
+
+def pixel_input(levels: Column, channels: int = 3) -> Column:
+    """Grey levels 0 to 255 as (v / 255 - 0.5) / 0.5, the same plane for each channel, channels first."""
+    plane = F.transform(levels, lambda v: (v / 255.0 - 0.5) / 0.5)
+    return F.flatten(F.array_repeat(plane, channels))

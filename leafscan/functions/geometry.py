@@ -135,3 +135,47 @@ def aspect_size(width: Column, height: Column, target: int, stride: int) -> dict
     w = size["new_w"] + F.lit(lift)
     h = F.when(size["new_h"] % stride != 0, size["new_h"] + stride - size["new_h"] % stride).otherwise(size["new_h"])
     return {"new_w": w, "new_h": h}
+
+
+def measures(b: Box) -> dict[str, Column]:
+    """Centre, corner, sides and aspect of a box."""
+    x1, y1, x2, y2 = b
+    return {"cx": (x1 + x2) / 2, "cy": (y1 + y2) / 2, "x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1, "aspect": (y2 - y1) / (x2 - x1)}
+
+
+def min_rect(points: Quad) -> Quad:
+    """Corners of the upright rectangle around a quadrilateral, clockwise from the left top."""
+    x1, y1, x2, y2 = bounds(points)
+    return [(x1, y1), (x2, y1), (x2, y2), (x1, y2)]
+
+
+def to_unit(b: Box, width: Column, height: Column) -> dict[str, Column]:
+    """Centre and sides as shares of the page."""
+    ax, ay, bx, by = b[0] / width, b[1] / height, b[2] / width, b[3] / height
+    return {"cx": ax + (bx - ax) / 2, "cy": ay + (by - ay) / 2, "w": bx - ax, "h": by - ay}
+
+
+def from_unit(centre: Column, side: Column, size: Column) -> Column:
+    """The lesser end of a side in whole pixels."""
+    return ((centre - side / 2) * size).cast("long")
+
+
+def hex_to_bgr(value: Column) -> dict[str, Column]:
+    """Blue, green and red of a 24-bit colour; green and red lose their lowest bit."""
+    return {"b": F.shiftright(value, 16), "g": F.shiftright(value.bitwiseAND(254 << 8), 8), "r": value.bitwiseAND(254)}
+
+
+def stroke_width(text: list[Column], ground: list[Column], apart: int = 40, width: float = 0.2) -> Column:
+    """``width`` where the summed differences of the two colours are over ``apart``, else 0."""
+    far = F.abs(text[0] - ground[0])
+    for a, b in zip(text[1:], ground[1:], strict=True):
+        far = far + F.abs(a - b)
+    return F.when(far > apart, width).otherwise(0.0)
+
+
+def crop_size(points: Quad, height: int = 64) -> dict[str, Column]:
+    """Width and height of a line's straightened crop: the shorter direction becomes ``height``."""
+    v = vectors(points)
+    up, along = norm(v["vx"], v["vy"]), norm(v["hx"], v["hy"])
+    upright, ratio = up > along, up / along
+    return {"w": F.when(upright, height).otherwise(F.bround(height / ratio)).cast("int"), "h": F.when(upright, F.bround(height * ratio)).otherwise(height).cast("int")}

@@ -75,3 +75,18 @@ def with_line(text: Column, line: str, before: str) -> Column:
     size = F.size(lines)
     put = F.concat(F.slice(lines, F.lit(1), place), F.array(F.lit(line)), F.slice(lines, place + 1, size))
     return F.when(has, text).otherwise(F.array_join(put, "\r\n"))
+
+
+def block_text(lines: Column) -> Column:
+    """A block's lines with a space between them, without blanks at the ends."""
+    return F.trim(F.array_join(lines, " "))
+
+
+def joined_in_order(order: Column, text: Column, between: str = "") -> Column:
+    """Aggregate: texts of a group in order, joined."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), between)
+
+
+def label_line(kind: Column, *numbers: Column) -> Column:
+    """A label file's line: class and whole numbers with blanks between them."""
+    return F.concat_ws(" ", kind.cast("string"), *[n.cast("long").cast("string") for n in numbers])

@@ -84,6 +84,41 @@ def missing_libraries(imports: DataFrame, provided: DataFrame) -> DataFrame:
     return left.groupBy("lib").agg(F.when(F.first(conditional), "conditional").otherwise("hard").alias("kind"), F.countDistinct("file").alias("users"))
 
 
+def library_users(imports: DataFrame) -> DataFrame:
+    """(lib, files, users): each imported library, the sorted set of files that name it; most used first."""
+    found = imports.groupBy(F.lower("lib").alias("lib")).agg(F.sort_array(F.collect_set("file")).alias("files"))
+    return found.withColumn("users", F.size("files").cast("long")).orderBy(F.col("users").desc(), "lib")
+
+
+def total_bytes(files: DataFrame, *keys: str, size: str = "bytes") -> DataFrame:
+    """Files and their summed size, by ``keys``."""
+    return files.groupBy(*keys).agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"))
+
+
+def checksums(files: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
+    """(name, crc32) of files' contents."""
+    return files.select(name, F.crc32(F.col(content).cast("binary")).alias("crc32"))
+
+
+def missing_packages(wanted: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
+    """Wanted packages that are not present; names are compared in lower case, with ``_`` for ``-``."""
+    plain = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+    return wanted.withColumn("__n", plain).join(present.select(plain.alias("__n")), "__n", "left_anti").select(*wanted.columns)
+
+
+def require_packages(wanted: DataFrame, present: DataFrame, name: str = "name") -> None:
+    """An error that names the first wanted package that is not present."""
+    bad = missing_packages(wanted, present, name).orderBy(name).first()
+    if bad:
+        raise ValueError(f"package {bad[name]} is missing")
+
+
+def entry_json(entries: DataFrame, key: str = "id", pretty: bool = True) -> DataFrame:
+    """(key, entry): each row as a JSON object, nulls left out."""
+    options = {"pretty": "true"} if pretty else {}
+    return entries.select(key, F.to_json(F.struct(*entries.columns), options).alias("entry"))
+
+
 def audit_fails(missing: DataFrame, strict: bool = False) -> DataFrame:
     """One row: whether the audit fails."""
     return missing.agg((F.count_if(F.col("kind") == "hard") > 0).alias("hard"), (F.count_if(F.col("kind") == "conditional") > 0).alias("c")).select((F.col("hard") | (F.lit(strict) & F.col("c"))).alias("fail"))

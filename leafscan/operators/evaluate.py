@@ -113,6 +113,11 @@ def micro_average(samples: DataFrame) -> DataFrame:
     return s.select(precision.alias("precision"), recall.alias("recall"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("hmean"))
 
 
+def confident(predictions: DataFrame, score: str, least: float = SCORE) -> DataFrame:
+    """Predictions with a score of ``least`` or more."""
+    return predictions.where(F.col(score) >= least)
+
+
 def f_measure(precision: Column, recall: Column) -> Column:
     return 2 * precision * recall / (precision + recall + 1e-8)
 

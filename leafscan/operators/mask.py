@@ -33,12 +33,22 @@ def dense_boxes(boxes: DataFrame, grid: DataFrame, key: str, least: float = DENS
     return out.where(F.col("density").isNull() | (F.col("density") >= least))
 
 
+def column_density(grid: DataFrame, key: str) -> DataFrame:
+    """(key, x, density): the sum of each column of cells."""
+    return grid.groupBy(key, "x").agg(F.sum("value").alias("density"))
+
+
+def large_components(parts: DataFrame, least: int) -> DataFrame:
+    """Components (x, y, w, h, area) of more than ``least`` cells."""
+    return parts.where(F.col("area") > least)
+
+
 def histogram(pixels: DataFrame, key: str, value: str, bins: int = 255) -> DataFrame:
     """(key, bin, count) of non-empty bins of equal width between the least and the largest value, the last one closed."""
     ends = pixels.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     place = F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * bins)
     at = F.when(F.col("high") == F.col("low"), F.lit(bins // 2)).otherwise(F.least(place, F.lit(bins - 1)))
-    return pixels.join(F.broadcast(ends), key).groupBy(key, at.cast("int").alias("bin")).count()
+    return pixels.join(ends, key).groupBy(key, at.cast("int").alias("bin")).count()
 
 
 def otsu(pixels: DataFrame, key: str, value: str) -> DataFrame:

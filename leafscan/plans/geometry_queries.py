@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import sql
 from ..operators import detect, evaluate, layout, polygons
 from .fixtures import Fixtures
 from .registry import Registry
@@ -220,7 +221,7 @@ def dont_care_semi(f):
 
 @R.add("SELECT page_id, det_id, obj FROM v_det WHERE obj >= 0.6")
 def pred_filter(f):
-    return f.v_det.where(F.col("obj") >= evaluate.SCORE).select("page_id", "det_id", "obj")
+    return evaluate.confident(f.v_det, "obj").select("page_id", "det_id", "obj")
 
 
 _SAMPLES = """SELECT page_id, det_id % 20 AS part, count(*) FILTER (w > 180 AND h > 150) AS truth, count(*) FILTER (w > 150 AND h > 180) AS found, count(*) FILTER (w > 180 AND h > 180) AS matched
@@ -361,26 +362,22 @@ def rotate_poly(f):
 @R.add("""
 SELECT page_id, det_id, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, round((y2 - y1) / (x2 - x1), 9) AS aspect FROM v_det""")
 def block_measures(f):
-    x1, y1, x2, y2 = g.box()
-    return f.v_det.select("page_id", "det_id", ((x1 + x2) / 2).alias("cx"), ((y1 + y2) / 2).alias("cy"), x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"), F.round((y2 - y1) / (x2 - x1), 9).alias("aspect"))
+    found = g.measures(g.box())
+    return f.v_det.select("page_id", "det_id", *[(F.round(c, 9) if n == "aspect" else c).alias(n) for n, c in found.items()])
 
 
 @R.add(f"""{_ASSIGNED}
 SELECT page_id, block_id, CASE WHEN count(*) > 1 AND NOT (4 * (count(*) * sum(px1 * px1) - sum(px1) * sum(px1)) < count(*) * sum((px1 + px2) * (px1 + px2)) - sum(px1 + px2) * sum(px1 + px2)) THEN 1 ELSE 0 END AS alignment
 FROM v_assigned WHERE block_id IS NOT NULL GROUP BY page_id, block_id""")
 def alignment(f):
-    """Variances as whole numbers, so that equal ones are equal."""
-    spread = lambda c: F.count("*") * F.sum(c * c) - F.sum(c) * F.sum(c)
-    left, both = F.col("px1").cast("long"), (F.col("px1") + F.col("px2")).cast("long")
-    return _assigned(f).where("block_id is not null").groupBy("page_id", "block_id").agg(F.when((F.count("*") > 1) & ~(4 * spread(left) < spread(both)), 1).otherwise(0).alias("alignment"))
+    return layout.alignment(_assigned(f).where("block_id is not null"), ["page_id", "block_id"])
 
 
 @R.add("""
 SELECT page_id, det_id, CASE WHEN abs(CAST(cx AS BIGINT) % 256 - CAST(cy AS BIGINT) % 256) + abs(CAST(w AS BIGINT) % 256 - CAST(h AS BIGINT) % 256) > 40 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS stroke FROM v_det""")
 def stroke_width(f):
     level = lambda c: F.col(c).cast("long") % 256
-    far = F.abs(level("cx") - level("cy")) + F.abs(level("w") - level("h"))
-    return f.v_det.select("page_id", "det_id", F.when(far > 40, 0.2).otherwise(0.0).alias("stroke"))
+    return f.v_det.select("page_id", "det_id", g.stroke_width([level("cx"), level("w")], [level("cy"), level("h")]).alias("stroke"))
 
 
 # polygons
@@ -391,17 +388,15 @@ SELECT page_id, det_id, CAST(trunc((cx2 - w2 / 2) * width) AS BIGINT) AS x1, CAS
 FROM (SELECT page_id, det_id, width, height, ax + (bx - ax) / 2 AS cx2, ay + (b_y - ay) / 2 AS cy2, bx - ax AS w2, b_y - ay AS h2
       FROM (SELECT d.page_id, det_id, width, height, x1 / width AS ax, y1 / height AS ay, x2 / width AS bx, y2 / height AS b_y FROM v_det d JOIN v_page p ON d.page_id = p.page_id))""")
 def yolo_roundtrip(f):
-    held = f.v_det.join(f.v_page, "page_id")
-    ax, ay, bx, by = F.col("x1") / F.col("width"), F.col("y1") / F.col("height"), F.col("x2") / F.col("width"), F.col("y2") / F.col("height")
-    held = held.select("page_id", "det_id", "width", "height", (ax + (bx - ax) / 2).alias("cx"), (ay + (by - ay) / 2).alias("cy"), (bx - ax).alias("w"), (by - ay).alias("h"))
-    back = lambda c, s, size: ((F.col(c) - F.col(s) / 2) * F.col(size)).cast("long")
-    return held.select("page_id", "det_id", back("cx", "w", "width").alias("x1"), back("cy", "h", "height").alias("y1"), *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
+    unit = g.to_unit(g.box(), F.col("width"), F.col("height"))
+    held = f.v_det.join(f.v_page, "page_id").select("page_id", "det_id", "width", "height", *[c.alias(n) for n, c in unit.items()])
+    back = [g.from_unit(F.col(c), F.col(s), F.col(size)).alias(n) for n, c, s, size in (("x1", "cx", "w", "width"), ("y1", "cy", "h", "height"))]
+    return held.select("page_id", "det_id", *back, *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @R.add("SELECT p_partkey, (v >> 16) AS b, ((v & 65024) >> 8) AS g, v & 254 AS r FROM (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part)")
 def hex2bgr(f):
-    v = (F.col("p_partkey") * 7919) % 16777216
-    return f.part.select("p_partkey", F.shiftright(v, 16).alias("b"), F.shiftright(v.bitwiseAND(254 << 8), 8).alias("g"), v.bitwiseAND(254).alias("r"))
+    return f.part.select("p_partkey", *[c.alias(n) for n, c in g.hex_to_bgr((F.col("p_partkey") * 7919) % 16777216).items()])
 
 
 _SHOELACE = "((px1 * py2 - px2 * py1) + (px2 * py3 - px3 * py2) + (px3 * py4 - px4 * py3) + (px4 * py1 - px1 * py4)) / 2.0::DOUBLE"
@@ -438,10 +433,27 @@ def rot_iou(f):
 SELECT page_id, line_id, CAST(CASE WHEN v THEN 64 ELSE round_even(64 / (nv / nh), 0) END AS INTEGER) AS w, CAST(CASE WHEN v THEN round_even(64 * (nv / nh), 0) ELSE 64 END AS INTEGER) AS h
 FROM (SELECT *, nv > nh AS v FROM (SELECT page_id, line_id, sqrt(vx * vx + vy * vy) AS nv, sqrt(hx * hx + hy * hy) AS nh FROM (SELECT page_id, line_id, {_VECTORS} FROM v_line)))""")
 def crop_size(f):
-    v = g.vectors(g.quad())
-    held = f.v_line.select("page_id", "line_id", g.norm(v["vx"], v["vy"]).alias("nv"), g.norm(v["hx"], v["hy"]).alias("nh")).withColumn("ratio", F.col("nv") / F.col("nh"))
-    upright = F.col("nv") > F.col("nh")
-    return held.select("page_id", "line_id", F.when(upright, 64).otherwise(F.bround(64 / F.col("ratio"))).cast("int").alias("w"), F.when(upright, F.bround(64 * F.col("ratio"))).otherwise(64).cast("int").alias("h"))
+    return f.v_line.select("page_id", "line_id", *[c.alias(n) for n, c in g.crop_size(g.quad()).items()])
+
+
+@R.add("""SELECT page_id, line_id, least(px1, px2, px3, px4) AS x1, least(py1, py2, py3, py4) AS y1, greatest(px1, px2, px3, px4) AS x3, greatest(py1, py2, py3, py4) AS y3 FROM v_line""")
+def min_rect(f):
+    q = g.min_rect(g.quad())
+    return f.v_line.select("page_id", "line_id", q[0][0].alias("x1"), q[0][1].alias("y1"), q[2][0].alias("x3"), q[2][1].alias("y3"))
+
+
+@R.add("""
+SELECT page_id, id, c AS common, CASE WHEN s = greatest(c, 0) THEN NULL ELSE greatest(c, 0) / (s - greatest(c, 0)) END AS iou FROM (
+  SELECT d.page_id, det_id AS id, CASE WHEN least(d.x2, p.x2) < greatest(d.x1, p.x1) OR least(d.y2, p.y2) < greatest(d.y1, p.y1) THEN -1.0::DOUBLE
+         ELSE (least(d.x2, p.x2) - greatest(d.x1, p.x1)) * (least(d.y2, p.y2) - greatest(d.y1, p.y1)) END AS c,
+         (d.x2 - d.x1) * (d.y2 - d.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s
+  FROM v_det d JOIN v_pred p ON d.page_id = p.page_id AND d.det_id = p.pred_id)""")
+def sql_functions(f):
+    """Functions registered in the session, called from SQL."""
+    sql.register(f.v_det.sparkSession)
+    held = f.v_det.alias("d").join(f.v_pred.alias("p"), F.expr("d.page_id = p.page_id AND d.det_id = p.pred_id"))
+    corners = ", ".join(f"{t}.{c}" for t in "dp" for c in ("x1", "y1", "x2", "y2"))
+    return held.select("d.page_id", F.col("det_id").alias("id"), F.expr(f"page_box_common({corners})").alias("common"), F.expr(f"page_box_iou({corners})").alias("iou"))
 
 
 # order-dependent layout: held against an independent loop in the tests

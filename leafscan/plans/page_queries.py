@@ -67,15 +67,19 @@ def detokenise(f):
 
 @R.add("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def join_pieces(f):
-    held = f.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return held.select("conv_id", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "").cast("binary")).alias("digest"))
+    return f.conversations.groupBy("conv_id").agg(F.md5(t.joined_in_order(F.col("turn"), F.col("text")).cast("binary")).alias("digest"))
 
 
 @R.add("""SELECT page_id, string_agg(concat_ws(' ', det_id % 2, CAST(cx AS BIGINT), CAST(cy AS BIGINT), CAST(w AS BIGINT), CAST(h AS BIGINT)), chr(10) ORDER BY det_id) AS labels FROM v_det GROUP BY page_id""")
 def yolo_labels(f):
-    line = F.concat_ws(" ", (F.col("det_id") % 2).cast("string"), *[F.col(c).cast("long").cast("string") for c in ("cx", "cy", "w", "h")])
-    held = f.v_det.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_id", line.alias("line")))).alias("l"))
-    return held.select("page_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("labels"))
+    line = t.label_line(F.col("det_id") % 2, *map(F.col, ("cx", "cy", "w", "h")))
+    return f.v_det.groupBy("page_id").agg(t.joined_in_order(F.col("det_id"), line, "\n").alias("labels"))
+
+
+@R.add("SELECT conv_id, trim(string_agg(text, ' ' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id")
+def get_text(f):
+    held = f.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    return held.select("conv_id", t.block_text(F.transform("l", lambda x: x["text"])).alias("text"))
 
 
 _CONFIG = "SELECT s_suppkey, concat(s_name, chr(10), CASE s_suppkey % 4 WHEN 0 THEN concat('import site', chr(10)) WHEN 1 THEN concat('..', chr(92), 'ocr', chr(10), 'import site') WHEN 2 THEN concat('x', chr(10), chr(10)) ELSE 'y' END) AS config FROM supplier"
@@ -159,6 +163,12 @@ def beam_search(f):
     return decode.decoded(crops, start=2, end=3).select("crop_id", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
+@R.add("SELECT vec_id, i, round((v / 255.0::DOUBLE - 0.5) / 0.5, 12) AS x FROM (SELECT vec_id, unnest(range(0, 192)) AS i, unnest(list_concat(list_concat(l, l), l)) AS v FROM (SELECT vec_id, [(vec_id * 31 + k * 7) % 256 for k in range(0, 64)] AS l FROM embeddings))")
+def pixel_input(f):
+    levels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: (F.col("vec_id") * 31 + k * 7) % 256)
+    return f.embeddings.select("vec_id", F.posexplode(a.pixel_input(levels)).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 12).alias("x"))
+
+
 @R.add(f"SELECT label AS tensor, max(abs(e - round(e, 3))) AS max_abs, max(abs(e - round(e, 3))) <= 0.001 AS ok FROM (SELECT label, unnest(embedding)::DOUBLE AS e FROM embeddings) GROUP BY label")
 def parity_maxabs(f):
     held = f.embeddings.select(F.col("label").alias("tensor"), "vec_id", F.posexplode("embedding").alias("i", "e"))
@@ -292,22 +302,49 @@ def poly_score(f):
     return mask.polygon_score(boxes, _grid(f).select("vec_id", "x", "y", F.col("p").alias("value")), "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+@R.add(f"SELECT vec_id, x, CAST(sum(CASE WHEN p > 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS density FROM ({_GRID}) GROUP BY vec_id, x")
+def column_density(f):
+    return mask.column_density(_grid(f).withColumn("value", mask.binarised(F.col("p"))), "vec_id").select("vec_id", F.col("x").cast("long").alias("x"), F.col("density").cast("long").alias("density"))
+
+
 # catalogs and records
 
 
+@R.add("SELECT lower(lib) AS lib, string_agg(DISTINCT file, ',' ORDER BY file) AS files, count(DISTINCT file) AS users FROM v_import GROUP BY lower(lib)")
+def library_users(f):
+    return catalog.library_users(f.v_import).select("lib", F.array_join("files", ",").alias("files"), "users")
+
+
+@R.add("SELECT lang, source, count(*) AS files, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes FROM documents GROUP BY lang, source")
+def bytes_total(f):
+    return catalog.total_bytes(f.documents.withColumn("bytes", F.octet_length("text")), "lang", "source")
+
+
+@R.add("""WITH k AS (SELECT list(x ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(0, 8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS x FROM (SELECT unnest(range(0, 256)) AS i)))
+SELECT p_partkey, CAST(xor(list_reduce([ord(c) for c in string_split(p_name, '')], lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS BIGINT) AS crc32 FROM part, k""")
+def file_crc32(f):
+    return catalog.checksums(f.part, "p_partkey", "p_name")
+
+
+@R.add("SELECT p_partkey, name FROM (SELECT p_partkey, p_name AS name FROM part WHERE p_partkey % 3 = 0) WHERE replace(lower(name), '-', '_') NOT IN (SELECT replace(lower(p_name), '-', '_') FROM part WHERE p_partkey % 2 = 0)")
+def package_guard(f):
+    named = f.part.select("p_partkey", F.col("p_name").alias("name"))
+    return catalog.missing_packages(named.where("p_partkey % 3 = 0"), named.where("p_partkey % 2 = 0").select("name"))
+
+
+@R.add("""SELECT s_suppkey AS id, '{' || chr(10) || '  "id" : ' || s_suppkey || ',' || chr(10) || '  "name" : "' || s_name || '",' || chr(10) || '  "sha256" : "' || sha256(s_name) || '"' || CASE WHEN s_suppkey % 2 = 0 THEN ',' || chr(10) || '  "bytes" : ' || strlen(s_name) ELSE '' END || chr(10) || '}' AS entry FROM supplier""")
+def catalog_entry(f):
+    size = F.when(F.col("s_suppkey") % 2 == 0, F.octet_length("s_name"))
+    return catalog.entry_json(f.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.sha2(F.col("s_name").cast("binary"), 256).alias("sha256"), size.alias("bytes")))
+
+
 @R.add("""SELECT s, row_number() OVER (PARTITION BY s ORDER BY page_id) - 1 AS seq, CAST(page_id AS VARCHAR) || '.png' AS rel, '/in/' || CAST(page_id AS VARCHAR) || '.png' AS abs_path, width, height FROM (SELECT *, page_id % 8 AS s FROM v_page)""")
 def manifest_pages(f):
     """Eight manifests, four of either root shape, written and parsed again."""
     page = F.struct("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".png")).alias("rel"), F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".png")).alias("absPath"), "width", "height")
     held = f.v_page.groupBy((F.col("page_id") % 8).alias("s")).agg(F.array_sort(F.collect_list(page)).alias("pages"))
     text = held.select("s", F.when(F.col("s") % 2 == 0, F.to_json(F.struct("pages"))).otherwise(F.to_json("pages")).alias("value"))
-    return _each_manifest(text)
-
-
-def _each_manifest(text: DataFrame) -> DataFrame:
-    pages = F.coalesce(F.from_json("value", f"struct<pages:array<{files.PAGE}>>")["pages"], F.from_json("value", f"array<{files.PAGE}>"))
-    held = text.select("s", F.posexplode(pages).alias("seq", "p"))
-    return held.select("s", F.col("seq").cast("long").alias("seq"), F.col("p.rel").alias("rel"), F.col("p.absPath").alias("abs_path"), F.col("p.width").alias("width"), F.col("p.height").alias("height"))
+    return files.manifest_pages(text, keep=("s",))
 
 
 @R.add("""
@@ -346,7 +383,7 @@ _PICK = "[" + ", ".join(f"'{p}'" for p in _PACKAGES) + "]"
 
 
 @R.add(f"""SELECT p_partkey, name FROM (SELECT p_partkey, ({_PICK})[1 + p_partkey % 9] || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-1.0' END AS name FROM part)
-WHERE NOT regexp_matches(name, '(?i)^(torch|torchgen|torchsummary|torchvision|functorch|transformers|tokenizers|unidic_lite|fugashi|comic_text_detector|manga_ocr|mokuro|onnxruntime)($|[-_.])')""")
+WHERE NOT regexp_matches(name, '{catalog.SKIPPED_PACKAGES}')""")
 def pkg_filter(f):
     names = F.array(*[F.lit(p) for p in _PACKAGES])
     name = F.concat(F.get(names, (F.col("p_partkey") % 9).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("-1.0"))

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 PAGE = "struct<rel:string,absPath:string,width:int,height:int>"
 
 
-def manifest_pages(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(seq, rel, abs_path, width, height) of whole manifests: an object with ``pages``, or a bare array."""
+def manifest_pages(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, rel, abs_path, width, height) of whole manifests: an object with ``pages``, or a bare array; ``keep``: columns that name the manifest."""
     held = F.coalesce(F.from_json(column, f"struct<pages:array<{PAGE}>>")["pages"], F.from_json(column, f"array<{PAGE}>"))
-    pages = texts.select(F.posexplode(held).alias("seq", "p"))
-    return pages.select(F.col("seq").cast("long").alias("seq"), F.col("p.rel").alias("rel"), F.col("p.absPath").alias("abs_path"), F.col("p.width").alias("width"), F.col("p.height").alias("height"))
+    pages = texts.select(*keep, F.posexplode(held).alias("seq", "p"))
+    return pages.select(*keep, F.col("seq").cast("long").alias("seq"), F.col("p.rel").alias("rel"), F.col("p.absPath").alias("abs_path"), F.col("p.width").alias("width"), F.col("p.height").alias("height"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -103,3 +103,19 @@ def test_page_without_a_file_goes_on(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"1")
     pages = spark.createDataFrame([("a.png",), ("b.png",)], "rel string")
     assert {r["rel"]: r["error"] is None for r in files.page_images(spark, pages, str(tmp_path)).collect()} == {"a.png": True, "b.png": False}
+
+
+def test_missing_package_is_an_error(spark):
+    from leafscan.operators import catalog
+
+    wanted, there = spark.createDataFrame([("Num-Py",), ("cv2",)], "name string"), spark.createDataFrame([("num_py",)], "name string")
+    with pytest.raises(ValueError, match="cv2"):
+        catalog.require_packages(wanted, there)
+    catalog.require_packages(wanted.where("name <> 'cv2'"), there)
+
+
+def test_thresholds_are_the_operators_own():
+    from leafscan.operators import layout
+    from leafscan.settings import Thresholds
+
+    assert Thresholds().assign == layout.ASSIGN and Thresholds(assign=0.5).assign == 0.5
