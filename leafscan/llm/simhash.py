@@ -88,11 +88,15 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), fp, node], ["key", "fp", "node"])
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes of each 64-bit value, which are the positional bytes that the two sides of an XOR share."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return 8 - np.bitwise_count(((x & low) + low | x) & ~low)
+
+
 def linked(x: np.ndarray) -> np.ndarray:
     """Whether XORs are of pairs that share LEAST_BYTES positional bytes and, of these, differ in MAX_BITS bits at most."""
-    shape = x.shape
-    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*shape, 8) == 0).sum(-1)
-    out = tally >= LEAST_BYTES
+    out = shared_bytes(x) >= LEAST_BYTES
     out[out] = np.bitwise_count(x[out]) <= MAX_BITS
     return out
 
@@ -104,8 +108,7 @@ def _spanning(fp: np.ndarray, node: np.ndarray, side: np.ndarray, both: bool) ->
         other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
         if not both:
             other = other[side[other] != side[i]]
-        near = other[np.bitwise_count(fp[other] ^ fp[i]) <= MAX_BITS]
-        near = near[linked(fp[near] ^ fp[i])] if len(near) else near
+        near = other[linked(fp[other] ^ fp[i])]
         for root in np.unique(label[near]):
             j = near[label[near] == root][0]
             out.append((int(node[i]), int(node[j])))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from leafscan.llm import simhash
@@ -91,3 +92,16 @@ def test_case_folds_and_order_counts(spark):
     rows = [(1, " ".join(base)), (2, " ".join(base).upper()), (3, " ".join(reversed(base)))]
     out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(spark, rows)).collect()}
     assert out == {1: 1, 2: 1, 3: 3}
+
+
+def test_the_tally_rejects_before_bits_are_compared():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 2**64, 20000, np.uint64)
+    keep = rng.integers(0, 2**64, 20000, np.uint64)
+    shared = ((a & keep).view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    assert simhash.shared_bytes(a & keep).tolist() == shared.tolist()
+    one = np.array([0x0101010100000000, 0x0101010000000000, 0x0700000000000000, 0], np.uint64)  # 4 bytes apart by a bit each; 3; one byte by 3
+    assert (simhash.shared_bytes(one) >= simhash.LEAST_BYTES).tolist() == [False, True, True, True]
+    assert simhash.linked(one).tolist() == [False, True, True, True]
+    wide = np.array([0xFF00000000000000, 0x0F00000000000000], np.uint64)  # passes the tally, not the bits
+    assert (simhash.shared_bytes(wide) >= simhash.LEAST_BYTES).all() and not simhash.linked(wide).any()
