@@ -1,14 +1,12 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A tree names regions, racks and shards; shards carry weights.  For a row's key every shard draws a
-waiting time ``-ln(u) / weight`` with ``u`` from MD5 of (key, shard).  A rack's draw is the least of
-its shards' draws, a region's the least of its racks': the least of exponential draws is itself
-exponential with the summed weight, so these are weighted draws of the inner nodes.  The row descends
-from the root into the child with the least draw at each level.
-
-Draws of other shards never change when a shard is added, removed or given another weight.  So a new
-shard takes rows only into itself, a removed one gives up only its own, and rows move only into or out
-of the subtrees whose weights changed.
+A tree names regions, racks and shards; shards carry weights, and a rack or region has the sum of
+those below it.  A row's key descends from the root: each child of the node it stands at draws a
+waiting time ``-ln(u) / weight`` with ``u`` from MD5 of the key and the child's path, and the least
+draw is entered.  Only children of chosen nodes draw.
+
+A node's draw depends on its own path and weight alone.  So a change of weights moves rows only into
+or out of the subtrees that hold it, and a new shard in a region of its own takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -33,80 +31,67 @@ class Leaf:
 
 
 def even_tree(shards: int, regions: int = 2, racks: int = 2) -> list[Leaf]:
-    """``shards`` leaves of weight 1 dealt in blocks over ``regions`` x ``racks``; the tree for ``shards + 1`` equals it but for one more leaf in the last rack."""
+    """``shards`` leaves of weight 1: sixteen in blocks over ``regions`` x ``racks``, each further one in a region of its own, so that it takes rows only into itself."""
     per = max(1, 16 // (regions * racks))
+    full = per * regions * racks
     out = []
     for s in range(shards):
-        block = min(s // per, regions * racks - 1)
-        out.append(Leaf(s, f"region{block // racks}", f"rack{block % racks}"))
+        block = s // per
+        out.append(Leaf(s, f"region{block // racks}", f"rack{block % racks}") if s < full else Leaf(s, f"region{regions + s - full}", "rack0"))
     return out
 
 
-def _draws(key: Column, tree: list[Leaf]) -> tuple[Column, dict[int, int]]:
-    """An array of draws, and the position of each shard of positive weight in it."""
-    text = F.coalesce(key.cast("string"), F.lit("null"))
-    live = [leaf for leaf in tree if leaf.weight > 0]
-    if not live:
-        raise ValueError("no shard has a positive weight")
-    draws = []
-    for leaf in live:
-        digits = F.substring(F.md5(F.concat(text, F.lit(f":{leaf.shard}")).cast("binary")), 1, DRAW_DIGITS)
-        u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**DRAW_DIGITS))
-        draws.append(-F.log(u) / F.lit(float(leaf.weight)))
-    return F.array(*draws), {leaf.shard: k for k, leaf in enumerate(live)}
+def _draw(key: Column, path: str, weight: float) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit(f":{path}")).cast("binary")), 1, DRAW_DIGITS)
+    u = (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**DRAW_DIGITS))
+    return -F.log(u) / F.lit(float(weight))
+
 
+def _entered(key: Column, nodes: list[tuple[str, float]]) -> Column:
+    """The place of the (path, weight) with the least draw; of equal draws the first."""
+    if len(nodes) == 1:
+        return F.lit(0)
+    return F.array_min(F.array(*[F.struct(_draw(key, path, weight).alias("d"), F.lit(k).alias("k")) for k, (path, weight) in enumerate(nodes)]))["k"]
 
-def _least(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.least(*columns)
+
+def _by_case(of: Column, below: list[Column]) -> Column:
+    """``below[of]``; only that one is computed."""
+    out = below[-1]
+    for k in range(len(below) - 2, -1, -1):
+        out = F.when(of == k, below[k]).otherwise(out)
+    return out
 
 
-def descend(tree: list[Leaf], draws: dict[int, Column]) -> Column:
-    """The shard reached from the root; equal draws go to the node named first."""
+def descend(docs: DataFrame, tree: list[Leaf], key: str, name: str) -> DataFrame:
+    """``docs`` with the shard reached from the root as ``name``."""
     regions: dict[str, dict[str, list[Leaf]]] = {}
     for leaf in tree:
-        if leaf.shard in draws:
+        if leaf.weight > 0:
             regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
-
-    def choose(nodes: list[tuple[Column, Column]]) -> Column:
-        """nodes: (draw, what stands below)."""
-        if len(nodes) == 1:
-            return nodes[0][1]
-        best = _least([d for d, _ in nodes])
-        out = nodes[-1][1]
-        for draw, below in reversed(nodes[:-1]):
-            out = F.when(draw == best, below).otherwise(out)
-        return out
-
-    def draw_of(leaves: list[Leaf]) -> Column:
-        return _least([draws[x.shard] for x in leaves])
-
-    return choose([
-        (draw_of([x for rack in racks.values() for x in rack]), choose([
-            (draw_of(leaves), choose([(draws[x.shard], F.lit(x.shard)) for x in leaves])) for leaves in racks.values()
-        ])) for racks in regions.values()
-    ])
+    if not regions:
+        raise ValueError("no shard has a positive weight")
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    total = lambda leaves: sum(x.weight for x in leaves)
+    top = [(r, total(x for rack in racks.values() for x in rack)) for r, racks in regions.items()]
+    middle = [[(f"{r}/{k}", total(leaves)) for k, leaves in racks.items()] for r, racks in regions.items()]
+    low = [[[(f"{r}/{k}/{x.shard}", x.weight) for x in leaves] for k, leaves in racks.items()] for r, racks in regions.items()]
+    out = docs.withColumn("__region", _entered(text, top))
+    out = out.withColumn("__rack", _by_case(F.col("__region"), [_entered(text, nodes) for nodes in middle]))
+    under = lambda found: _by_case(F.col("__region"), [_by_case(F.col("__rack"), list(map(found, range(len(racks)), [k] * len(racks)))) for k, racks in enumerate(low)])
+    out = out.withColumn("__leaf", under(lambda j, k: _entered(text, low[k][j])))
+    shards = [[[x.shard for x in leaves] for leaves in racks.values()] for racks in regions.values()]
+    reached = under(lambda j, k: _by_case(F.col("__leaf"), [F.lit(s) for s in shards[k][j]]))
+    return out.withColumn(name, reached.cast("int")).drop("__region", "__rack", "__leaf")
 
 
 def place(docs: DataFrame, tree: list[Leaf], key: str = "doc_id", grown: list[Leaf] | None = None) -> DataFrame:
-    """``docs`` with ``shard`` (and ``grown_shard`` under the grown tree), in one narrow projection.
+    """``docs`` with ``shard`` (and ``grown_shard`` under the grown tree), without a shuffle.
 
     A null key is a key of its own.  Rows with equal keys share a shard.  Columns of ``docs`` with
     these names are replaced.
     """
-    every = {x.shard: x for x in [*tree, *(grown or [])]}
-    for x in [*tree, *(grown or [])]:
-        if every[x.shard].weight != x.weight:
-            raise ValueError("a shard's weight differs between the two trees; place() them one by one")
-    draws, at = _draws(F.col(key), list(every.values()))
-
-    def down(d: Column) -> Column:
-        cols = {shard: F.get(d, F.lit(k)) for shard, k in at.items()}
-        reach = lambda t: descend(t, {x.shard: cols[x.shard] for x in t if x.shard in cols}).cast("int")
-        return F.struct(reach(tree).alias("shard"), reach(grown or tree).alias("grown_shard"))
-
-    out = docs.withColumn("__place", F.transform(F.array(draws), down)[0])
-    out = out.withColumn("shard", F.col("__place.shard"))
-    return (out.withColumn("grown_shard", F.col("__place.grown_shard")) if grown else out).drop("__place")
+    out = descend(docs, tree, key, "shard")
+    return descend(out, grown, key, "grown_shard") if grown else out
 
 
 def numbered(placed: DataFrame, keys: DataFrame, key: str = "doc_id", buckets: int = 256) -> DataFrame:

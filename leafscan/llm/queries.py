@@ -55,4 +55,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc, op2_compact_windows, op3_quality_rules, op4_attention_mil, op5_mixing, op6_lattice, op7_fuzzy_lines, op8_simhash, op9_tiling, op10_hash_tree)}
-ORACLES = {"op1_warc": oracles.OP1, "op3_quality_rules": oracles.op3(rules.STOP_WORDS), "op10_hash_tree": oracles.op10(SHARDS)}
+ORACLES = {"op1_warc": oracles.OP1, "op3_quality_rules": oracles.op3(rules.STOP_WORDS), "op10_hash_tree": oracles.op10(hashtree.even_tree(SHARDS), hashtree.even_tree(SHARDS + 1))}

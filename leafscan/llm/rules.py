@@ -36,7 +36,7 @@ class Rule:
 
 #: The default thresholds.
 RULES = (
-    Rule("length", "n_words", low=10, high=1_000_000),
+    Rule("length", "n_words", low=10),
     Rule("word length", "chars_per_word", low=2.0, high=16.0),
     Rule("symbols", "symbols_per_word", high=0.1),
     Rule("stop words", "stop_ratio", low=0.05, from_words=30),

@@ -30,19 +30,32 @@ def test_weights_are_met_and_confined(spark):
     before = placed(spark, tree)
     share = Counter(before.values())
     assert 4 not in share and all(abs(share[x.shard] / 4000 - x.weight / 8) < 0.04 for x in tree)
+    in_b = lambda s: s in (2, 3)
     after = placed(spark, [*tree[:3], h.Leaf(3, "b", "q", 5.0), tree[4]])
-    assert {after[k] for k in before if after[k] != before[k]} == {3}
+    moved = {k for k in before if after[k] != before[k]}
+    assert moved and all(in_b(after[k]) for k in moved)  # into the region that gained, within it into the rack that gained
+    assert all(after[k] == 3 for k in moved if in_b(before[k]))
     gone = placed(spark, [x for x in tree if x.shard != 2])
-    assert all(gone[k] == s for k, s in before.items() if s != 2)
+    assert all(gone[k] == s for k, s in before.items() if not in_b(s))
+    rack = placed(spark, [h.Leaf(0, "a", "r", 2.0), h.Leaf(1, "a", "r", 2.0), *tree[2:]])  # weights within a rack
+    assert all({before[k], rack[k]} == {0, 1} for k in before if rack[k] != before[k]) and rack != before
 
 
-def test_descent_equals_the_least_draw_of_all(spark):
+def test_descent_equals_a_walk_down_the_tree(spark):
     import hashlib
 
-    def draw(i, s):
-        return -math.log((int(hashlib.md5(f"{i}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13)
+    def draw(i, path, w):
+        return -math.log((int(hashlib.md5(f"{i}:{path}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / w
 
-    assert placed(spark, h.even_tree(16), 300) == {i: min(range(16), key=lambda s, i=i: draw(i, s)) for i in range(300)}
+    tree = [h.Leaf(0, "a", "r", 1.0), h.Leaf(1, "a", "r", 3.0), h.Leaf(2, "b", "r", 2.0), h.Leaf(3, "b", "q", 2.5), h.Leaf(4, "b", "q", 0.5), h.Leaf(5, "c", "q", 1.0)]
+
+    def walk(i):
+        region = min("abc", key=lambda r: draw(i, r, sum(x.weight for x in tree if x.region == r)))
+        racks = {x.rack for x in tree if x.region == region}
+        rack = min(racks, key=lambda k: draw(i, f"{region}/{k}", sum(x.weight for x in tree if (x.region, x.rack) == (region, k))))
+        return min((x for x in tree if (x.region, x.rack) == (region, rack)), key=lambda x: draw(i, f"{region}/{rack}/{x.shard}", x.weight)).shard
+
+    assert placed(spark, tree, 500) == {i: walk(i) for i in range(500)}
 
 
 def test_slots_are_gapless(spark):
@@ -59,8 +72,6 @@ def test_slots_are_gapless(spark):
 def test_trees_are_checked(spark):
     with pytest.raises(ValueError):
         h.place(ids(spark, 3), [h.Leaf(0, "a", "r", 0.0)])
-    with pytest.raises(ValueError):
-        h.place(ids(spark, 3), [h.Leaf(0, "a", "r")], grown=[h.Leaf(0, "a", "r", 2.0)])
 
 
 def test_written_shards_read_back(spark, tmp_path):
