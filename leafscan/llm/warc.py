@@ -30,6 +30,8 @@ LEAST_REVISIT = 1000
 GZIP_LEVEL = 4
 #: Reads of records at most this far apart are one read, up to this many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of selected records that a task reads.
+TASK_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
@@ -92,9 +94,10 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, html, refers_to): the largest page_id of equal payloads of ``least`` bytes or more, null on itself."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.when(F.octet_length(html) >= least, F.sha1(html.cast("binary"))).alias("digest"))
-    first = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("key"), "largest")
-    # payloads without a digest get a key of their own, so that they spread
-    held = keyed.withColumn("key", F.coalesce("digest", F.concat(F.lit("page "), F.col("page_id").cast("string")), F.uuid()))
+    named = F.concat(F.lit("sha1:"), "digest")
+    first = keyed.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select(named.alias("key"), "largest")
+    # payloads without a digest get a key by their row, so that they spread; a frequent payload's partition can be split
+    held = keyed.withColumn("key", F.coalesce(named, F.concat(F.lit("row "), F.xxhash64("page_id", "url", "html").cast("string"))))
     refers = F.when(F.col("page_id") != F.col("largest"), F.col("largest"))
     return held.join(first, "key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -172,7 +175,8 @@ def read(index: DataFrame, path: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    ordered = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // TASK_BYTES)), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(kernel, RECORDS)
 
 
