@@ -104,12 +104,13 @@ class Items:
         order = np.argsort(seeds[at], kind="stable")
         self.seeds, first = np.unique(seeds[at][order], return_index=True)
         self.of = np.split(doc[order], first[1:]) if len(first) else []
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.seeds & np.uint64((1 << 20) - 1)] = True
+        self.mask = np.uint64((1 << max(10, min(20, 4 + len(self.seeds).bit_length()))) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[self.seeds & self.mask] = True
 
     def hits(self, seeds: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose seed is in the index, and the seed's number there."""
-        at = np.flatnonzero(self.maybe[seeds & np.uint64((1 << 20) - 1)] & whole)
+        at = np.flatnonzero(self.maybe[seeds & self.mask] & whole)
         if not len(at) or not len(self.seeds):
             return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.seeds, seeds[at]), len(self.seeds) - 1)
@@ -202,19 +203,28 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
-    """The same by joins, for a test set of any size; rows with equal ids count as one, with the least text."""
-    left = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"))
-    right = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    mine = left.mapInArrow(_seeds, "id long, seed long").withColumnRenamed("id", "doc_id")
-    theirs = right.mapInArrow(_seeds, "id long, seed long").withColumnRenamed("id", "item_id")
-    pairs = mine.join(theirs, "seed").select("doc_id", "item_id").distinct()
-    whole = pairs.join(left, "doc_id").join(right.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
+    """The same by joins, for a test set of any size.
+
+    A row is named by a hash of its id and text, so nulls and repeated rows fare as in the other path.
+    Each text is met once with all items it shares a seed with (in parts of about a thousand).
+    """
+    left = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    left = left.withColumn("row", F.xxhash64("doc_id", "text"))
+    right = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("item"))
+    right = right.withColumn("item_row", F.xxhash64("item_id", "item"))
+    mine = left.select("row", "text").mapInArrow(_seeds, "id long, seed long").withColumnRenamed("id", "row")
+    theirs = right.select("item_row", "item").mapInArrow(_seeds, "id long, seed long").withColumnRenamed("id", "item_row").distinct()
+    pairs = mine.join(theirs, "seed").select("row", "item_row").distinct()
+    many = pairs.groupBy("row").count().select("row", F.ceil(F.col("count") / 1000).alias("parts"))
+    dealt = pairs.join(many, "row").withColumn("part", F.pmod("item_row", "parts")).join(right, "item_row")
+    items = dealt.groupBy("row", "part").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    whole = left.join(items, "row").select("doc_id", "text", "items")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += _against(Items([item_id], [item]), [doc_id], [text], coverage)
+            for doc_id, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out += _against(Items([x["item_id"] for x in some], [x["item"] for x in some]), [doc_id], [text], coverage)
             yield _rows(out)
 
     return whole.mapInArrow(kernel, PAIRS)

@@ -56,6 +56,15 @@ def test_a_large_test_set_is_joined(spark):
     assert one == other and len(one) == 5
 
 
+def test_both_paths_agree_on_nulls_and_repeats(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, "some words before " + item), (1, "some words before " + item), (None, item + " and after"), (2, None), (3, "nothing here at all of it"), (1, "zz another text " + item)]
+    docs = docs_of(spark, [(i or 0, t) for i, t in rows]).selectExpr("nullif(doc_id, 0) AS doc_id", "text", "lang AS item_id", "source AS row")
+    items = spark.createDataFrame([(7, item), (7, item), (None, item.upper()), (8, None), (9, "too short")], "item_id long, text string")
+    one, other = (sorted(map(repr, map(tuple, tiling.leaks(docs, items, held_bytes=n).collect()))) for n in (1 << 30, 0))
+    assert one == other and len(one) == 12
+
+
 def test_odd_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert tiling.leaks(odd_docs(spark), bench(spark)).count() == 0
