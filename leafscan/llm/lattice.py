@@ -33,9 +33,8 @@ from .storage import bounded_batches, saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HELD_WORDS = 1 << 18
-#: Words of more bytes than this are cut into parts of it for the lattice, their products taken; whole-word arcs are not cut.
-PART = 256
-LONGEST_PIECE = 16
+#: Words of more bytes than this are recursed on one by one, piece matches being looked up for so many bytes at a time.
+LONG, CHUNK = 256, 1 << 16
 FLUSH = 100_000
 PRIOR = 0.5
 LN10 = math.log(10)
@@ -60,7 +59,7 @@ def load_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         raw = model.id_to_piece(i).replace("▁", " ").encode()
-        if not raw.strip() and raw != b" " or raw != raw.lower() or len(raw) > LONGEST_PIECE or b" " in raw[1:]:
+        if not raw.strip() and raw != b" " or raw != raw.lower() or b" " in raw[1:]:
             continue
         found[raw] = max(found.get(raw, 0), rate(scores[i]))
     for b in range(256):
@@ -95,7 +94,7 @@ class Lattice:
         self.longest = max(map(len, pieces))
 
     def _arcs(self, batch: list[bytes]) -> Arcs:
-        """batch: words with their leading space, or inner parts without."""
+        """batch: words with their leading space."""
         size = np.fromiter(map(len, batch), np.int64, len(batch))
         buffer = b"".join(batch)
         base = np.cumsum(size) - size
@@ -135,20 +134,35 @@ class Lattice:
     def log_marginals(self, batch: list[bytes]) -> np.ndarray:
         """Natural logarithm of each word's summed segmentations; words come without the space."""
         out = np.zeros(len(batch))
-        parts, owner = _parts(batch)
-        for begin in range(0, len(parts), FLUSH):
-            some = parts[begin : begin + FLUSH]
+        for at, some in _groups(batch):
             a = self._arcs(some)
-            alpha = self._forward(a, int(a.size.sum()) + len(some))
-            np.add.at(out, owner[begin : begin + FLUSH], alpha[a.base + a.size])
+            out[at] = self._forward(a, int(a.size.sum()) + len(some))[a.base + a.size]
+        for k in _long(batch):
+            out[k] = self._walk(*self._all_arcs(b" " + batch[k]), len(batch[k]) + 1)[-1]
         return out
 
+    def _all_arcs(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all matches in a word of any length, by start."""
+        found = []
+        for begin in range(0, len(word), CHUNK):
+            a = self._arcs([word[begin : begin + CHUNK + self.longest - 1]])
+            on = a.start < CHUNK
+            found.append((a.start[on] + begin, a.start[on] + a.length[on] + begin, a.piece[on]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _walk(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, size: int) -> np.ndarray:
+        """Forward sums of one word's states from arcs by start."""
+        alpha = [-math.inf] * (size + 1)
+        alpha[0] = 0.0
+        for s, e, w in zip(start.tolist(), end.tolist(), self.weight[piece].tolist(), strict=True):
+            x, y = alpha[e], alpha[s] + w
+            alpha[e] = max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
+        return np.array(alpha)
+
     def expected(self, batch: list[bytes]) -> np.ndarray:
         """Expected count of each piece over all segmentations of the words."""
         out = np.zeros(len(self.weight))
-        parts, _ = _parts(batch)
-        for begin in range(0, len(parts), FLUSH):
-            some = parts[begin : begin + FLUSH]
+        for _, some in _groups(batch):
             a = self._arcs(some)
             states = int(a.size.sum()) + len(some)
             alpha = self._forward(a, states)
@@ -161,17 +175,26 @@ class Lattice:
             whole = np.repeat(alpha[a.base + a.size], a.size + 1)
             share = np.exp(alpha[a.start] + self.weight[a.piece] + beta[a.start + a.length] - whole[a.start])
             out += np.bincount(a.piece, share, len(out))
+        for k in _long(batch):
+            size = len(batch[k]) + 1
+            start, end, piece = self._all_arcs(b" " + batch[k])
+            alpha = self._walk(start, end, piece, size)
+            back = np.argsort(-end, kind="stable")
+            beta = self._walk(size - end[back], size - start[back], piece[back], size)[::-1]
+            out += np.bincount(piece, np.exp(alpha[start] + self.weight[piece] + beta[end] - alpha[-1]), len(out))
         return out
 
 
-def _parts(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    parts, owner = [], []
-    for k, w in enumerate(batch):
-        w = b" " + w
-        for i in range(0, len(w), PART):
-            parts.append(w[i : i + PART])
-            owner.append(k)
-    return parts, np.array(owner, np.int64)
+def _groups(batch: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(places, words with their leading space) of words up to LONG bytes, FLUSH at a time."""
+    at = [k for k, w in enumerate(batch) if len(w) < LONG]
+    for begin in range(0, len(at), FLUSH):
+        some = at[begin : begin + FLUSH]
+        yield some, [b" " + batch[k] for k in some]
+
+
+def _long(batch: list[bytes]) -> list[int]:
+    return [k for k, w in enumerate(batch) if len(w) >= LONG]
 
 
 def _prefix(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -106,3 +106,32 @@ def test_score_is_the_mixture(spark):
     want = 2 * math.log10(p[0]) + math.log10(p[1]) + math.log10((model.ends - d) / n)
     assert lattice.score(docs, model).first()["score"] == pytest.approx(want)
     assert sum(max(c - d, 0) for c in counts.values()) / n + (model.ends - d) / n + d * v / n == pytest.approx(1)
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words over LONG, in chunks or not, have the marginal of the plain recursion over every piece."""
+    pieces, weight = lattice.load_pieces()
+    assert max(map(len, pieces)) > 16
+    lat = lattice.Lattice(pieces, weight)
+    number = {p: k for k, p in enumerate(pieces)}
+    word = ("http://example.org/" + "abstract-и-нтерес-" * 30).encode()
+    assert len(word) > lattice.LONG
+
+    def plain(raw):
+        alpha = [0.0] + [-np.inf] * len(raw)
+        for e in range(1, len(raw) + 1):
+            for s in range(max(0, e - lat.longest), e):
+                k = number.get(raw[s:e])
+                if k is not None:
+                    alpha[e] = np.logaddexp(alpha[e], alpha[s] + weight[k])
+        return alpha[-1]
+
+    want = plain(b" " + word)
+    assert lat.log_marginals([b"ab", word, b"cd"])[1] == pytest.approx(want, rel=1e-9)
+    once = lat.expected([word])
+    monkeypatch.setattr(lattice, "CHUNK", 100)
+    assert lat.log_marginals([word])[0] == pytest.approx(want, rel=1e-9)
+    assert np.allclose(lat.expected([word]), once)
+    monkeypatch.setattr(lattice, "LONG", 10_000)
+    assert lat.log_marginals([word])[0] == pytest.approx(want, rel=1e-9)
+    assert np.allclose(lat.expected([word]), once)
