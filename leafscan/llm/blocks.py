@@ -36,8 +36,11 @@ def one_block(cell: int) -> bool:
     return cell < 0 or cell >> 32 == cell & 0xFFFFFFFF
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables of whole runs of rows with equal non-null integer ``keys``, from batches sorted by them; a run may span batches."""
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int = 0, overlap: int = 0) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows with equal non-null integer ``keys``, from batches sorted by them; a run may span batches.
+
+    With ``most``, runs over so many rows come in parts, each of which begins with the last ``overlap`` rows of the one before.
+    """
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -55,6 +58,10 @@ def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[p
             held = [batch.slice(int(change[-1]))]
         else:
             held.append(batch)
+            if most and sum(b.num_rows for b in held) > most:
+                part = pa.Table.from_batches(held)
+                yield part
+                held = part.slice(part.num_rows - overlap).combine_chunks().to_batches()
         last = tuple(k[-1] for k in key)
     if held:
         yield pa.Table.from_batches(held)
