@@ -6,9 +6,12 @@ again until all three hold.  A cell's fitted tokens over its own tokens are its
 Divided by the largest weight it is the probability with which each document is kept, so that the
 kept tokens have the target shares in expectation.  The draw is a hash of the document's id.
 
-The topic of a text, where no column names one, is learned: spherical k-means over hashed word counts
-of a sample of about ``SAMPLE`` texts, drawn by a hash of the id; every text is then assigned to the
-centre it is nearest to (ties: the lesser number; texts without words: topic 0).
+The topic of a text, where no column names one, is learned from all texts: spherical k-means over
+hashed word counts, which are stored once.  Word rarities and each pass's centres are sums over every
+text, in whole numbers, so they are the same for the same rows in any order.  Only where the centres
+begin is drawn: in ``DRAWS`` rounds texts are drawn among all, those far from the earlier ones more
+often, and of these the ones that all texts are nearest to are taken (k-means||).  Every text is then
+assigned to the centre it is nearest to (ties: the lesser number; texts without words: topic 0).
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ DIMENSIONS = ("source", "lang", "topic")
 NONE = "(none)"
 #: Cell tables up to this many rows are raked on the driver, larger ones as a table.
 HELD_CELLS = 100_000
-#: Texts that topics are learned from, and their most frequent words that are kept; words are hashed to FEATURES.
-SAMPLE, SAMPLE_WORDS, FEATURES = 4000, 64, 4096
-PASSES = 12
+#: Words are hashed to FEATURES; passes over all texts at most, fewer if the centres stay.
+FEATURES, PASSES = 4096, 12
+#: Rounds that texts to begin with are drawn in; the whole number that stands for 1 in sums over texts.
+DRAWS, UNIT = 3, 1 << 30
 
 
 @dataclass(frozen=True)
@@ -58,76 +62,168 @@ def _counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return code[first] // FEATURES, code[first] % FEATURES, np.diff(np.append(first, len(code))), np.diff(w.first)
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): the most frequent hashed words of each text; of equal counts the lesser hashes."""
+_COUNTED = "doc_id long, source string, lang string, n_tokens long, word binary, n binary"
+
+
+def _pieces(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    """``flat[first[k]:first[k + 1]]`` as bytes for each k."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of words, and the hashed words of the whole text (2 bytes each) with their counts (4 bytes each)."""
     for batch in batches:
-        out = []
-        for _, raw in words.slices(batch.column(0).to_pylist(), lower=True):
-            owner, word, n, _ = _counts(raw)
-            order = np.lexsort((word, -n, owner))
-            opens = np.searchsorted(owner, np.arange(len(raw) + 1))
-            for a, b in zip(opens[:-1], opens[1:], strict=True):
-                top = order[a : min(b, a + SAMPLE_WORDS)]
-                out.append((word[top].tolist(), n[top].tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.list_(pa.int64())), pa.array([y for _, y in out], pa.list_(pa.int64()))], ["word", "n"])
-
-
-def _centres(texts: list[tuple[list[int], list[int]]], topics: int) -> np.ndarray:
-    """FEATURES x topics: centres of a spherical k-means, each word's rarity taken in."""
-    x = np.zeros((len(texts), FEATURES), np.float32)
-    for k, (word, n) in enumerate(texts):
-        x[k, word] = np.log1p(n)
-    rarity = np.log((1 + len(texts)) / (1 + (x > 0).sum(0))).astype(np.float32)
-    x *= rarity
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = np.zeros((topics, FEATURES), np.float32)
-    near = np.full(len(x), -np.inf, np.float32)
-    for k in range(min(topics, len(x))):  # each next one is the text farthest from those chosen
-        centre[k] = x[int(np.argmin(near))]
-        near = np.maximum(near, x @ centre[k])
-    for _ in range(PASSES):
-        of = np.argmax(x @ centre.T, axis=1)
-        for k in range(topics):
-            if (of == k).any():
-                mean = x[of == k].sum(0)
-                centre[k] = mean / max(float(np.linalg.norm(mean)), 1e-9)
-    return (centre * rarity).T.astype(np.float64)
+        for begin, raw in words.slices(batch.column(3).to_pylist(), lower=True):
+            owner, word, n, total = _counts(raw)
+            first = np.searchsorted(owner, np.arange(len(raw) + 1))
+            own = [c.slice(begin, len(raw)) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(total, pa.int64()), _pieces(word.astype("<u2"), first), _pieces(n.astype("<u4"), first)], [x.split()[0] for x in _COUNTED.split(", ")])
 
 
-def learned(docs: DataFrame, topics: int, sample: int = SAMPLE) -> np.ndarray:
-    """Centres of ``topics`` topics from about ``sample`` texts with words; the same for the same rows in any order."""
-    held = docs.where(F.col("text").isNotNull())
-    share = min(1.0, sample / max(1, held.count()))
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(2**53)) < share
-    rows = held.where(drawn).select(F.col("text").cast("string")).mapInArrow(_sample, "word array<long>, n array<long>").where(F.size("word") > 0).collect()
-    return _centres(sorted((r["word"], r["n"]) for r in rows), topics)
+def _vectors(word: list[bytes], n: list[bytes], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hashed word, value) of all texts; the values of a text have norm 1, or are 0."""
+    owner = np.repeat(np.arange(len(word)), np.fromiter(map(len, word), np.int64, len(word)) // 2)
+    at = np.frombuffer(b"".join(word), "<u2").astype(np.int64)
+    x = np.log1p(np.frombuffer(b"".join(n), "<u4").astype(np.float64)) * rarity[at]
+    norm = np.sqrt(np.bincount(owner, x * x, len(word)))
+    return owner, at, x / np.maximum(norm, 1e-9)[owner]
 
 
-def assigned(raw: list[bytes], centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(topic, words) of each text."""
-    owner, word, n, total = _counts(raw)
-    score = np.zeros((len(raw), centre.shape[1]))
-    np.add.at(score, owner, np.log1p(n)[:, None] * centre[word])
-    return np.argmax(np.round(score, 9), axis=1), total
+def _near(owner: np.ndarray, at: np.ndarray, x: np.ndarray, texts: int, centre: np.ndarray) -> np.ndarray:
+    """Cosine of each text with each row of ``centre``; the same wherever the text lies."""
+    out = np.empty((texts, len(centre)))
+    for k, c in enumerate(centre):
+        out[:, k] = np.bincount(owner, x * c[at], texts)
+    return np.round(out, 9)
 
 
-def facts(docs: DataFrame, topics: int = 8, topic: str | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens): words of the whole text; null names become ``(none)``."""
-    bounded_batches(docs.sparkSession)
-    centre = np.zeros((FEATURES, 1)) if topic else learned(docs, topics)
-    sent = docs.sparkSession.sparkContext.broadcast(centre)
+def _summed(counted: DataFrame, each, shape: tuple[int, int]) -> np.ndarray:
+    """The sum over all texts of the whole numbers that ``each(word, n)`` gives for those of a batch; a task sends one table of ``shape``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape[0] * shape[1], np.int64)
         for batch in batches:
-            for begin, raw in words.slices(batch.column(4).to_pylist(), lower=True):
-                found, total = assigned(raw, sent.value)
-                own = [c.slice(begin, len(raw)) for c in batch.columns]
-                named = own[3].fill_null(NONE) if topic else pa.array(map(str, found.tolist()), pa.string())
-                yield pa.RecordBatch.from_arrays([*own[:3], named, pa.array(total, pa.int64())], ["doc_id", "source", "lang", "topic", "n_tokens"])
+            total += each(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["cell", "total"])
+
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    for r in counted.select("word", "n").mapInArrow(kernel, "cell int, total long").groupBy("cell").agg(F.sum("total").alias("total")).collect():
+        out[r["cell"]] = r["total"]
+    return out.reshape(shape)
+
 
+def _drawn(counted: DataFrame, rarity: np.ndarray, centre: np.ndarray, count: int, turn: int) -> list[tuple[bytes, bytes]]:
+    """``count`` texts, each with a chance in proportion to its distance from the nearest row of ``centre``."""
+    sent = counted.sparkSession.sparkContext.broadcast((rarity, centre))
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(17 + turn), "doc_id", "word", "n"), 11) + F.lit(0.5)) / F.lit(float(2**53))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, centre = sent.value
+        held: list[tuple[float, bytes, bytes]] = []
+        for batch in batches:
+            word, n = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            owner, at, x = _vectors(word, n, rarity)
+            far = 1 - _near(owner, at, x, len(word), centre).max(axis=1, initial=0)
+            far[np.bincount(owner, x, len(word)) == 0] = 0
+            wait = np.divide(-np.log(batch.column(0).to_numpy()), far, out=np.full(len(word), np.inf), where=far > 1e-9)
+            first = np.argsort(wait, kind="stable")[:count]
+            held = sorted(held + [(float(wait[k]), word[k], n[k]) for k in first[np.isfinite(wait[first])].tolist()])[:count]
+        kinds = [pa.float64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], ["wait", "word", "n"])
+
+    rows = counted.select(draw.alias("draw"), "word", "n").mapInArrow(kernel, "wait double, word binary, n binary").orderBy("wait", "word", "n").limit(count).collect()
+    return [(bytes(r["word"]), bytes(r["n"])) for r in rows]
+
+
+def _begun(counted: DataFrame, rarity: np.ndarray, topics: int) -> np.ndarray:
+    """topics x FEATURES: texts that the others are near to; rows of 0 where there are fewer texts."""
+    texts: dict[tuple[bytes, bytes], None] = {}
+    tried = np.zeros((0, FEATURES))
+    for turn in range(DRAWS):
+        texts |= dict.fromkeys(_drawn(counted, rarity, tried, 2 * topics, turn))
+        tried = np.zeros((len(texts), FEATURES))
+        owner, at, x = _vectors([w for w, _ in texts], [n for _, n in texts], rarity)
+        tried[owner, at] = x
+    out = np.zeros((topics, FEATURES))
+    if not len(tried):
+        return out
+    sent = counted.sparkSession.sparkContext.broadcast((rarity, tried))
+
+    def nearest(word: list[bytes], n: list[bytes]) -> np.ndarray:
+        rarity, tried = sent.value
+        owner, at, x = _vectors(word, n, rarity)
+        return np.bincount(np.argmax(_near(owner, at, x, len(word), tried), axis=1), minlength=len(tried))
+
+    weight = _summed(counted, nearest, (1, len(tried)))[0]
+    like, near = np.round(tried @ tried.T, 9), np.zeros(len(tried))
+    for k in range(min(topics, len(tried))):  # each next one is that which brings all texts nearest
+        gain = np.maximum(like, near) @ weight
+        best = int(np.argmax(gain))
+        out[k], near = tried[best], np.maximum(near, like[best])
+        like[best] = 0
+    return out
+
+
+def learned(counted: DataFrame, topics: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rarity of each hashed word, topics x FEATURES centres) of all texts; the same for the same rows in any order."""
+
+    def having(word: list[bytes], n: list[bytes]) -> np.ndarray:
+        return np.append(np.bincount(np.frombuffer(b"".join(word), "<u2"), minlength=FEATURES), sum(map(bool, word)))
+
+    *texts, total = _summed(counted, having, (1, FEATURES + 1))[0].tolist()
+    rarity = np.log((1 + total) / (1 + np.array(texts)))
+    if topics < 2 or not total:
+        return rarity, np.zeros((topics, FEATURES))
+    centre = _begun(counted, rarity, topics)
+    for _ in range(PASSES):
+        sent = counted.sparkSession.sparkContext.broadcast((rarity, centre))
+
+        def members(word: list[bytes], n: list[bytes], sent=sent) -> np.ndarray:
+            rarity, centre = sent.value
+            owner, at, x = _vectors(word, n, rarity)
+            of = np.argmax(_near(owner, at, x, len(word), centre), axis=1)
+            return np.bincount(of[owner] * FEATURES + at, np.rint(x * UNIT), centre.size).astype(np.int64)
+
+        mean = _summed(counted, members, centre.shape).astype(np.float64)
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        after = np.where(norm > 0, mean / np.maximum(norm, 1), centre)
+        sent.unpersist()
+        if (after == centre).all():
+            break
+        centre = after
+    return rarity, centre
+
+
+def facts(docs: DataFrame, topics: int = 8, topic: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens), stored: words of the whole text; null names become ``(none)``."""
+    bounded_batches(docs.sparkSession)
+    schema = "doc_id long, source string, lang string, topic string, n_tokens long"
+    names = [x.split()[0] for x in schema.split(", ")]
     named = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")]
-    held = docs.select(F.col("doc_id").cast("long"), *named, (F.col(topic) if topic else F.lit(None)).cast("string").alias("topic"), F.col("text").cast("string"))
-    return held.mapInArrow(kernel, "doc_id long, source string, lang string, topic string, n_tokens long")
+    held = docs.select(F.col("doc_id").cast("long"), *named, F.col("text").cast("string"), *([F.col(topic).cast("string").alias("topic")] if topic else []))
+    if topic:
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin, raw in words.slices(batch.column(3).to_pylist()):
+                    own = [c.slice(begin, len(raw)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*own[:3], own[4].fill_null(NONE), pa.array(np.diff(words.split(raw, False).first), pa.int64())], names)
+
+        return saved(held.mapInArrow(told, schema), "facts")
+    counted = saved(held.mapInArrow(_counted, _COUNTED), "counted")
+    sent = docs.sparkSession.sparkContext.broadcast(learned(counted, topics))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity, centre = sent.value
+        for batch in batches:
+            owner, at, x = _vectors(batch.column(4).to_pylist(), batch.column(5).to_pylist(), rarity)
+            of = np.argmax(_near(owner, at, x, batch.num_rows, centre), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(str, of.tolist()), pa.string()), batch.column(3)], names)
+
+    out = saved(counted.mapInArrow(found, schema), "facts")
+    discard(counted)
+    return out
 
 
 def target_shares(totals: dict[str, float], given: dict[str, float] | None, power: float) -> dict[str, float]:
@@ -216,7 +312,7 @@ def mix(docs: DataFrame, targets: Targets = Targets(), topics: int = 8, topic: s
     besides doc_id, source, lang, text and the topic's are not read, whatever their names.
     """
     spark = docs.sparkSession
-    held = saved(facts(docs, topics, topic), "facts")
+    held = facts(docs, topics, topic)
     cells = saved(held.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     miss = 0.0
     some = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] > 0

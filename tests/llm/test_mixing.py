@@ -46,6 +46,30 @@ def test_topics_are_learned_from_the_texts(spark):
     assert all(out[k] == out[k % 3] for k in out)
 
 
+def test_topics_come_from_every_word_and_text(spark):
+    """Kinds differ in words beyond the 64 most frequent of a text; rarities and centres equal a loop over all of 5,000 texts."""
+    rng = np.random.default_rng(6)
+    kinds = [[f"{name}{k}" for k in range(12)] for name in ("ship", "tree", "coin")]
+    common = [f"the{j}" for j in range(400)]
+    rows = [(k, " ".join(rng.choice(common, 70, replace=False).tolist() * 2 + rng.choice(kinds[k % 3], 10, replace=False).tolist())) for k in range(5000)]
+    docs = docs_of(spark, rows)
+    out = {r["doc_id"]: r["topic"] for r in mixing.facts(docs, 3).collect()}
+    assert len(set(out.values())) == 3 and sum(out[k] == out[k % 3] for k in out) > 0.99 * len(out)
+    turned = docs.orderBy(docs["doc_id"].desc()).repartition(7)
+    assert {r["doc_id"]: r["topic"] for r in mixing.facts(turned, 3).collect()} == out
+    counted = docs.selectExpr("doc_id", "source", "lang", "text").mapInArrow(mixing._counted, mixing._COUNTED)
+    rarity, centre = mixing.learned(counted, 3)
+    owner, word, n, _ = mixing._counts([t.encode() for _, t in rows])
+    assert rarity == pytest.approx(np.log((1 + len(rows)) / (1 + np.bincount(word, minlength=mixing.FEATURES))))
+    x = np.zeros((len(rows), mixing.FEATURES))
+    x[owner, word] = np.log1p(n) * rarity[word]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    of = np.argmax(np.round(x @ centre.T, 9), axis=1)
+    assert [str(k) for k in of] == [out[k] for k, _ in rows]
+    mean = np.array([x[of == k].sum(0) for k in range(3)])
+    assert centre == pytest.approx(mean / np.linalg.norm(mean, axis=1, keepdims=True), abs=1e-3)
+
+
 def test_rows_equal_a_loop(spark):
     """Every weight, probability and draw by a loop over cells, given the topics."""
     rows = [(k, " ".join(words(5 + k % 40, k))) for k in range(400)]
