@@ -1,9 +1,11 @@
 import re
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from leafscan.llm import hashtree, mixing, rules, tiling
 
-from .helpers import Groups, no_docs, odd_docs
+from .helpers import Groups, docs_of, no_docs, odd_docs
 from .test_simhash import fingerprint
 
 
@@ -59,3 +61,18 @@ def test_rows_without_an_id_are_judged(spark, sf_dir):
     more = spark.createDataFrame([(None, item, "en", "s", 1), (None, "quite another text without an id of its own", "en", "s", 1)], docs.schema)
     left = pipeline.decontamination(spark, docs.unionByName(more), sf_dir).collect()
     assert sorted(r["text"][:13] for r in left if r["doc_id"] is None) == ["quite another"]
+
+
+def test_mixing_learns_topics_from_every_word_and_text(spark, sf_dir, monkeypatch):
+    """Eight kinds of over 4,000 texts, told apart by words beyond the 64 most frequent of a text, are the topics that are raked."""
+    rng = np.random.default_rng(9)
+    common = [f"the{j}" for j in range(100)]
+    rows = [(k, " ".join(rng.choice(common, 70, replace=False).tolist() * 2 + [f"kind{k % 8}x{j}" for j in range(20)])) for k in range(4400)]
+    raked, rake = [], mixing.rake
+    monkeypatch.setattr(mixing, "rake", lambda cells, targets: raked.append(cells) or rake(cells, targets))
+    docs = docs_of(spark, rows)
+    assert pipeline.mix(spark, docs, sf_dir).columns == docs.columns
+    tokens = {}
+    for _, _, topic, n in raked[0]:
+        tokens[topic] = tokens.get(topic, 0) + n
+    assert sorted(tokens.values()) == [550 * 160] * 8
