@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, bounds, dealt, one_block, runs
+from .blocks import BLOCK, bounds, dealt, runs
 from .components import components
 from .storage import bounded_batches, discard, saved
 from .words import SPACES, mixed
@@ -34,7 +34,12 @@ _BITS = np.uint64(45)
 #: Lines that a task keeps in mind in order not to send them twice.
 REMEMBERED = 1 << 18
 #: Lists up to this long are compared pair by pair, all of a batch at once.
-SMALL = 8
+SMALL = 64
+#: Bits of a line that tell in advance which pairs are not similar.
+MARKS = 2048
+#: Bits of a list's number that tell lists with the same least line apart.
+LOW = 24
+_OWN = np.uint64((1 << LOW) - 1)
 _random = np.random.Generator(np.random.PCG64(31))
 _FACTOR = _random.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _POINT = _random.integers(0, 2**63, 1 << 16, np.uint64)
@@ -108,17 +113,70 @@ def bands_of(lines: list[str]) -> np.ndarray:
     return out
 
 
-def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct hashes of the lines' sets of characters, sorted in each line; ends of each line's, from 0)."""
-    held, amount = [], [np.zeros(1, np.int64)]
+def _places(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(_BITS-bit hash of the set member at every place of the lines, repeats included; ends of each line's, from 0)."""
+    held, amount = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
     for _, some in _slices(lines):
         h, _, number = _hashes(some)
-        owner = np.repeat(np.arange(len(some), dtype=np.uint64), number)
-        both = np.sort(owner << _BITS | mixed(h) >> np.uint64(64 - int(_BITS)))
+        held.append(mixed(h) >> np.uint64(64 - int(_BITS)))
+        amount.append(number)
+    return np.concatenate(held), np.cumsum(np.concatenate(amount))
+
+
+def _taken(ends: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the lines ``some``, line by line; ends of each one's, from 0)."""
+    n = np.diff(ends)[some]
+    last = np.cumsum(n)
+    return np.arange(int(n.sum())) + np.repeat(ends[some] - (last - n), n), np.concatenate([[0], last])
+
+
+def _distinct(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, sorted in each line; ends of each line's, from 0)."""
+    held, amount = [np.empty(0, np.uint64)], [np.zeros(1, np.int64)]
+    begin = 0
+    while begin < len(ends) - 1:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + _SLICE, "right")) - 1)
+        owner = np.repeat(np.arange(end - begin, dtype=np.uint64), np.diff(ends[begin : end + 1]))
+        both = np.sort(owner << _BITS | h[ends[begin] : ends[end]])
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         held.append(both & ((np.uint64(1) << _BITS) - np.uint64(1)))
-        amount.append(np.bincount((both >> _BITS).astype(np.int64), minlength=len(some)))
-    return np.concatenate([np.empty(0, np.uint64), *held]), np.cumsum(np.concatenate(amount))
+        amount.append(np.bincount((both >> _BITS).astype(np.int64), minlength=end - begin))
+        begin = end
+    return np.concatenate(held), np.cumsum(np.concatenate(amount))
+
+
+def sets_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of the lines' sets of characters, sorted in each line; ends of each line's, from 0)."""
+    return _distinct(*_places(lines))
+
+
+def _marks(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """MARKS bits of each line: those that the hashes of its set fall on."""
+    out = np.empty((len(ends) - 1, MARKS // 64), np.uint64)
+    for begin in range(0, len(out), 1024):
+        end = min(begin + 1024, len(out))
+        on = np.zeros((end - begin) * MARKS, bool)
+        owner = np.repeat(np.arange(end - begin) * MARKS, np.diff(ends[begin : end + 1]))
+        on[owner + (h[ends[begin] : ends[end]] % np.uint64(MARKS)).astype(np.int64)] = True
+        out[begin:end] = np.packbits(on.reshape(-1, MARKS), axis=1).view(np.uint64)
+    return out
+
+
+def _possible(marks: np.ndarray, number: np.ndarray, i: np.ndarray, j: np.ndarray, limit: float) -> np.ndarray:
+    """False only for pairs whose similarity is below ``limit`` by their marks.
+
+    A mark of one line alone is a member of its set that the other has not: so many at least are not
+    common, and of a line's ``number`` of places so many fewer can be.
+    """
+    total = np.bitwise_count(marks).sum(axis=1, dtype=np.int64)
+    out = np.empty(len(i), bool)
+    for begin in range(0, len(i), 1 << 12):
+        a, b = i[begin : begin + (1 << 12)], j[begin : begin + (1 << 12)]
+        both = np.bitwise_count(marks[a] & marks[b]).sum(axis=1, dtype=np.int64)
+        alone = total[a] - both, total[b] - both
+        most = np.minimum(number[a] - alone[0], number[b] - alone[1])
+        out[begin : begin + (1 << 12)] = most >= limit * (most + alone[0] + alone[1])
+    return out
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,56 +204,64 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
 
 
+def _listed(band: np.ndarray, line: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(list, line) of the whole bands in rows sorted by (band, line)."""
+    fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (line[1:] != line[:-1])])[: len(band)]
+    band, line = band[fresh], line[fresh]
+    edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])[: len(band)])
+    size = np.diff(np.append(edge, len(band)))
+    many = size > 1
+    line, edge, size = line[np.repeat(many, size)], edge[many], size[many]
+    if not len(size):
+        return line, line
+    first = np.cumsum(size) - size
+    of = mixed(line.view(np.uint64))
+    number = mixed(np.add.reduceat(of, first) + size.astype(np.uint64))
+    number = np.where(size > SMALL, number, number & _OWN | of[first] & ~_OWN).view(np.int64)
+    return np.repeat(np.where(size > longest, band[edge], number), size), line
+
+
 def _shared(longest: int):
     """(list, line) of bands with two different lines or more; rows sorted by (band, line).
 
-    A list's number is a hash of its lines, so lists that several bands give alike become one.  A band
-    over ``longest`` rows is not held: its rows pass on under the band's own number.
+    A list's number is a hash of its lines, so lists that several bands give alike become one.  For lists
+    up to ``SMALL`` all but the last ``LOW`` bits are of the least line alone: those that share it, at most
+    one of each band, lie together.  (Two lists that came to one number would be compared as one, which
+    loses no link.)  A band over ``longest`` rows is not held: its rows pass on under the band's own number.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last, passing = None, False
 
-        def rows(number: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(number), pa.array(line)], ["list", "line"])
-
-        def closed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            line = np.concatenate(parts)
-            line = line[np.concatenate([[True], line[1:] != line[:-1]])]
-            if len(line) < 2:
-                return line[:0], line[:0]
-            number = mixed(np.array([mixed(line.view(np.uint64)).sum() + np.uint64(len(line))], np.uint64)).view(np.int64)
-            return np.repeat(number, len(line)), line
+        def closed() -> tuple[np.ndarray, np.ndarray]:
+            line = np.concatenate([np.empty(0, np.int64), *([] if passing else held)])
+            return _listed(np.full(len(line), last), line, longest)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, line = (batch.column(k).to_numpy() for k in (0, 1))
             edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            size = np.diff(np.append(edge, len(band)))
-            # bands of one row end here, but for the first and last of a batch, which may go on
-            keep = size > 1
-            keep[[0, -1]] = True
-            keep = np.repeat(keep, size)
-            band, line = band[keep], line[keep]
-            edge = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            out = []
-            for first, end in zip(edge, np.append(edge[1:], len(band)), strict=True):
-                if band[first] != last:
-                    if held and not passing:
-                        out.append(closed(held))
-                    held, passing, last = [], False, band[first]
-                held.append(line[first:end])
+            begin, end = (edge[1], edge[-1]) if len(edge) > 1 else (len(band), len(band))
+            out = [_listed(band[begin:end], line[begin:end], longest)]
+            # the first band of a batch may have begun before it, the last may go on after it
+            for of, part in ((band[0], line[:begin]), (band[-1], line[end:])):
+                if not len(part):
+                    continue
+                if of != last:
+                    if held:
+                        out.append(closed())
+                    held, passing, last = [], False, of
+                held.append(part)
                 if passing or sum(map(len, held)) > longest:
                     passing = True
                     part = np.unique(np.concatenate(held))
                     out.append((np.full(len(part), last), part))
                     held = [line[:0]]
-            if out:
-                yield rows(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
-        if held and not passing:
-            yield rows(*closed(held))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["list", "line"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in closed()], ["list", "line"])
 
     return kernel
 
@@ -238,8 +304,25 @@ def _similar(h: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray, limi
 _DENSE = 1 << 21
 
 
-def _spanning(h: np.ndarray, ends: np.ndarray, side: np.ndarray | None, limit: float) -> list[tuple[int, int]]:
-    """Links of one list that connect it as all its links do; with ``side`` only rows of different sides are compared."""
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the least place of what each place is linked with, when a[k] and b[k] are linked as well."""
+    up = label.copy()
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return up
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _spanning(h: np.ndarray, ends: np.ndarray, side: np.ndarray | None, label: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Links of one list that connect it as all its links do; with ``side`` only rows of different sides are compared.
+
+    Rows with the same ``label`` are connected already.
+    """
     amount = np.diff(ends)
     n = len(amount)
     owner = np.repeat(np.arange(n), amount)
@@ -252,7 +335,7 @@ def _spanning(h: np.ndarray, ends: np.ndarray, side: np.ndarray | None, limit: f
         has = np.zeros((n, kinds), np.float32)
         has[owner, token] = 1
         table = np.rint(has @ has.T).astype(np.int64)
-    label, out = np.arange(n), []
+    label, out = label.copy(), []
     for i in range(n - 1):
         near = (label != label[i]) & (np.arange(n) > i) & (np.minimum(amount, amount[i]) >= limit * np.maximum(amount, amount[i]))
         if side is not None:
@@ -271,31 +354,40 @@ def _spanning(h: np.ndarray, ends: np.ndarray, side: np.ndarray | None, limit: f
 def _verified(limit: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ("list", "cell")):
-            name, back = np.unique(table.column("line").to_numpy(), return_index=True)
-            mine = np.searchsorted(name, table.column("line").to_numpy())
-            h, ends = sets_of(table.column("text").take(pa.array(back)).to_pylist())
-            cell, side = table.column("cell").to_numpy(), table.column("side").to_numpy()
+            name, back, mine = np.unique(table.column("line").to_numpy(), return_index=True, return_inverse=True)
+            h, ends = _places(table.column("text").take(pa.array(back)).to_pylist())
+            number, marks = np.diff(ends), _marks(h, ends)
             edge, size = bounds(table, ("list", "cell"))
             group = np.repeat(np.arange(len(size)), size)
-            few = np.repeat(size <= SMALL, size)
-            pairs = []
-            for d in range(1, SMALL):
-                i = np.flatnonzero((group[:-d] == group[d:]) & few[:-d]) if len(group) > d else np.empty(0, np.int64)
-                whole = (cell[i] < 0) | (cell[i] >> 32 == cell[i] & 0xFFFFFFFF) | (side[i] != side[i + d])
-                i = i[whole & (mine[i] != mine[i + d])]
-                pairs.append(np.sort(np.stack([mine[i], mine[i + d]]), axis=0))
-            found = np.unique(np.concatenate(pairs, axis=1), axis=1)  # a pair of several lists counts once
-            found = found[:, _similar(h, ends, found[0], found[1], limit)]
-            links = [(name[found[0]], name[found[1]])]
+            order = np.lexsort((number[mine], group))  # lines of like length lie together in their list
+            mine, cell, side = mine[order], table.column("cell").to_numpy(), table.column("side").to_numpy()[order]
+            whole, few = (cell < 0) | (cell >> 32 == cell & 0xFFFFFFFF), np.repeat(size <= SMALL, size)
+            label, links, tried = np.arange(len(name)), [], np.empty(0, np.int64)
+            for step in range((SMALL - 1).bit_length()):  # what nearer rows have linked is not compared again
+                pairs = [np.empty(0, np.int64)]
+                for d in range(1 << step, min(2 << step, SMALL, int(size.max()))):
+                    i = np.flatnonzero((group[:-d] == group[d:]) & (few[d:] | (step == 0)))
+                    i = i[(whole[i] | (side[i] != side[i + d])) & (label[mine[i]] != label[mine[i + d]])]
+                    pairs.append(np.minimum(mine[i], mine[i + d]) * len(name) + np.maximum(mine[i], mine[i + d]))
+                fresh = np.setdiff1d(np.concatenate(pairs), tried)  # a pair of several lists counts once
+                tried = np.concatenate([tried, fresh])
+                i, j = fresh // len(name), fresh % len(name)
+                left = _possible(marks, number, i, j, limit)
+                some, ij = np.unique(np.stack([i[left], j[left]]), return_inverse=True)
+                take, last = _taken(ends, some)
+                found = _similar(*_distinct(h[take], last), *ij.reshape(2, -1), limit)
+                links.append((i[left][found], j[left][found]))
+                label = _joined(label, *links[-1])
             for k in np.flatnonzero(size > SMALL):
                 rows = mine[edge[k] : edge[k] + size[k]]
-                n = np.diff(ends)[rows]
-                take = np.arange(int(n.sum())) + np.repeat(ends[rows] - (np.cumsum(n) - n), n)
-                whole = one_block(int(cell[edge[k]]))
-                some = _spanning(h[take], np.concatenate([[0], np.cumsum(n)]), None if whole else side[edge[k] : edge[k] + size[k]], limit)
+                if (label[rows] == label[rows[0]]).all():
+                    continue
+                take, last = _taken(ends, rows)
+                some = _spanning(*_distinct(h[take], last), None if whole[edge[k]] else side[edge[k] : edge[k] + size[k]], label[rows], limit)
                 if some:
-                    links.append(tuple(name[rows[np.array(x)]] for x in zip(*some, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links, strict=True)], ["a", "b"])
+                    links.append(tuple(rows[np.array(x)] for x in zip(*some, strict=True)))
+                    label = _joined(label, *links[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(name[np.concatenate(x)]) for x in zip(*links, strict=True)], ["a", "b"])
 
     return kernel
 
@@ -318,7 +410,7 @@ def deduplicated(docs: DataFrame, limit: float = SIMILARITY, block: int = BLOCK)
     wanted = places.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
     fetched = held.join(wanted, held["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted").mapInArrow(_fetch, "line long, text string")
     listed = dealt(lists, "list", "line", block).join(fetched, "line")
-    ordered = listed.repartition("list", "cell").sortWithinPartitions("list", "cell").select("list", "cell", "side", "line", "text")
+    ordered = listed.repartition(F.shiftright("list", LOW), "cell").sortWithinPartitions("list", "cell").select("list", "cell", "side", "line", "text")
     found = components(ordered.mapInArrow(_verified(limit), "a long, b long")).withColumnRenamed("node", "line")
     discard(lists)
     rooted = saved(classes.join(found, "line", "left").select("line", F.coalesce("component", "line").alias("root"), "place"), "rooted")

@@ -1,5 +1,8 @@
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+
 from leafscan.llm import fuzzylines as z
 
 from .helpers import Groups, docs_of, no_docs, odd_docs, words
@@ -56,3 +59,60 @@ def test_dropped_lines_are_cut_out(spark):
 
 def test_short_lines_are_one_set():
     assert z.shingles("ab") == {"ab"} and z.bands_of(["ab"]).tolist() == z.bands_of(["ab", "abc"])[:1].tolist()
+
+
+def lists_of(rows):
+    """A table as the comparison reads it: (list, text) by list."""
+    name = [z._name(text) for _, text in rows]
+    none = np.zeros(len(rows), np.int64)
+    return pa.table({"list": pa.array([k for k, _ in rows], pa.int64()), "cell": none - 1, "side": none, "line": pa.array(name, pa.int64()), "text": [t for _, t in rows]})
+
+
+def linked(batches):
+    return {frozenset(p) for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+
+
+def test_pairs_that_cannot_be_similar_are_not_compared(monkeypatch):
+    alike = [t for _, t in variants(5)]
+    rows = [(1, t) for t in alike] + [(2, t) for t in alike] + [(3, " ".join(words(40, k))) for k in range(8)]
+    compared, similar = [], z._similar
+    monkeypatch.setattr(z, "_similar", lambda h, ends, i, j, limit: compared.append(len(i)) or similar(h, ends, i, j, limit))
+    got = linked(z._verified(0.8)(iter(lists_of(rows).to_batches())))
+    assert sum(compared) == len(got) == 4  # as many as connect five lines, of 38 pairs
+
+
+def test_marks_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    lines = ["".join(rng.choice(list("abc "), rng.integers(1, 400))) for _ in range(60)] + ["ab" * k for k in range(1, 40)]
+    lines += [s[:c] + s[c + 1 :] for s in lines for c in rng.integers(0, len(s), 2)]
+    sets, (h, ends) = [z.shingles(s) for s in lines], z._places(lines)
+    i, j = np.triu_indices(len(lines), 1)
+    for limit in (0.5, 0.8, 1.0):
+        similar = np.array([z.similarity(sets[a], sets[b]) >= limit for a, b in zip(i, j, strict=True)])
+        possible = z._possible(z._marks(h, ends), np.diff(ends), i, j, limit)
+        assert not (similar & ~possible).any() and similar.any() and not possible.all()
+
+
+def test_lists_in_any_batches():
+    rng = np.random.default_rng(4)
+    band, line = rng.integers(-40, 40, 300), rng.integers(-9, 9, 300)
+    order = np.lexsort((line, band))
+    table = pa.table({"band": band[order], "line": line[order]})
+    want = {tuple(sorted(set(line[band == b].tolist()))) for b in set(band.tolist())}
+    for longest in (1 << 20, 3):
+        for size in (1, 2, 7, 300):
+            found = {}
+            for b in z._shared(longest)(iter(table.to_batches(max_chunksize=size))):
+                for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found.setdefault(k, set()).add(n)
+            assert {tuple(sorted(x)) for x in found.values()} == {x for x in want if len(x) > 1}
+            if longest > 3:
+                assert all(k >> z.LOW == z.mixed(np.array([min(x)]).view(np.uint64)).view(np.int64)[0] >> z.LOW for k, x in found.items())
+
+
+def test_long_lists_of_one_least_line_lie_apart():
+    line = np.arange(z.SMALL + 1)
+    table = pa.table({"band": np.repeat(np.arange(10), len(line) + 1), "line": np.tile(np.append(line, 0), 10) + np.repeat(np.arange(10), len(line) + 1) * np.tile(np.append(line > 5, False), 10)})
+    order = np.lexsort((table.column("line").to_numpy(), table.column("band").to_numpy()))
+    number = np.concatenate([b.column(0).to_numpy() for b in z._shared(z.LONGEST)(iter(table.take(pa.array(order)).to_batches()))])
+    assert len(set(number.tolist())) == len(set((number >> z.LOW).tolist())) == 10
