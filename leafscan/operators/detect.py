@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
+from .runs import by_page, edges
 
 OBJECTNESS, CONFIDENCE, OVERLAP = 0.4, 0.4, 0.35
 ROW_CAP, KEEP_CAP = 30_000, 300
 LINE_SCORE = 0.6
+CELLS = 1 << 18  # of a matrix that is held at once
 
 
 def scored(det: DataFrame, classes: list[str], objectness: float = OBJECTNESS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -31,24 +36,45 @@ def rescaled(det: DataFrame, x_ratio: Column, y_ratio: Column) -> DataFrame:
     return det.withColumns({"x1": x("x1"), "y1": y("y1"), "x2": x("x2"), "y2": y("y2"), "conf": F.bround("conf", 3)})
 
 
+def suppression(box: np.ndarray, label: np.ndarray, overlap: float = OVERLAP, keep: int = KEEP_CAP) -> list[int]:
+    """Places of the rows that stay, of rows in order; of the matrix of overlaps only some rows are held at once."""
+    free, out, part = np.ones(len(box), bool), [], max(1, CELLS // max(1, len(box)))
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    for i in range(0, len(box), part):
+        rows = i + np.flatnonzero(free[i : i + part])
+        side = np.minimum(box[rows, None, 2:], box[None, i:, 2:]) - np.maximum(box[rows, None, :2], box[None, i:, :2])
+        common = np.where((side < 0).any(2), 0.0, side[..., 0] * side[..., 1])
+        clash = (common / np.maximum(size[rows, None] + size[i:] - common, 1.0) > overlap) & (label[rows, None] == label[i:])
+        for k, row in enumerate(rows.tolist()):
+            if free[row]:
+                out.append(row)
+                if len(out) == keep:
+                    return out
+                free[i:] &= ~clash[k]
+    return out
+
+
 def suppressed(det: DataFrame, overlap: float = OVERLAP, cap: int = ROW_CAP, keep: int = KEEP_CAP) -> DataFrame:
     """Kept rows (page_id, det_id, label, conf, corners, rank) of each page.
 
     Rows in order of falling confidence, equal ones by det_id; a row goes if a kept row of its label
     overlaps it by more than ``overlap`` (the union counts as 1 at least).  ``cap`` rows enter, all
-    labels together, and ``keep`` stay.  An ordered fold in the JVM: one shuffle, by page.
+    labels together, and ``keep`` stay.  One shuffle, by page.
     """
-    held = F.struct((-F.col("conf")).alias("o"), "det_id", "label", "conf", "x1", "y1", "x2", "y2")
-    box = lambda s: tuple(s[c] for c in ("x1", "y1", "x2", "y2"))
-
-    def step(kept: Column, row: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["label"] == row["label"]) & (g.iou(box(k), box(row), 1.0) > overlap))
-        return F.when((F.size(kept) >= keep) | clash, kept).otherwise(F.concat(kept, F.array(row)))
-
-    grouped = det.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(held)), 1, cap).alias("rows"))
-    none = F.slice(F.col("rows"), 1, 0)
-    kept = grouped.select("page_id", F.posexplode(F.aggregate("rows", none, step)).alias("rank", "r"))
-    return kept.select("page_id", *[F.col(f"r.{c}").alias(c) for c in ("det_id", "label", "conf", "x1", "y1", "x2", "y2")], "rank")
+    names = ["det_id", "label", "conf", "x1", "y1", "x2", "y2"]
+
+    def kernel(table: pa.Table) -> list[tuple]:
+        box = np.stack([table.column(c).to_numpy().astype(float) for c in names[3:]], axis=1)
+        held, label, out = list(zip(*(table.column(c).to_pylist() for c in names), strict=True)), table.column("label").to_numpy(), []
+        page = table.column("page_id").to_numpy()
+        for i, j in pairwise(edges(page)):
+            j = min(j, i + cap)
+            out += [(int(page[i]), *held[i + k], rank) for rank, k in enumerate(suppression(box[i:j], label[i:j], overlap, keep))]
+        return out
+
+    kinds = ", ".join(f"{c} {det.schema[c].dataType.simpleString()}" for c in names)
+    rows = det.select("page_id", *names, (-F.col("conf")).alias("falling"))
+    return by_page([rows], ["falling", *names], kernel, f"page_id long, {kinds}, rank int")
 
 
 def line_filter(lines: DataFrame, score: float = LINE_SCORE) -> DataFrame:

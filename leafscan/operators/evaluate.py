@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .runs import by_page, edges
 
 MATCH, FIRST_FIT, DONT_CARE, SCORE = 0.5, 0.5, 0.5, 0.6
+CELLS = 1 << 20  # of a matrix that is held at once
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -22,55 +27,89 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros_like(common), where=union != 0)
 
 
+def _pick(rows: np.ndarray, columns: np.ndarray, overlap: np.ndarray, best: bool) -> list[tuple[int, int, float]]:
+    """Of candidates in order of row and column, each row in turn takes a free column: the last one of largest overlap, or the first."""
+    used, out, held = set(), [], None
+    for i, j, v in zip(rows.tolist(), columns.tolist(), overlap.tolist(), strict=True):
+        if held is not None and held[0] != i:
+            out.append(held)
+            used.add(held[1])
+            held = None
+        if j not in used and (held is None or best and v >= held[2]):
+            held = (i, j, v)
+    return out if held is None else [*out, held]
+
+
 def greedy(overlap: np.ndarray, least: float = MATCH) -> list[tuple[int, int, float]]:
     """(row, column, overlap): each row in turn takes the free column of largest overlap, of equal ones the last, if it is ``least`` or more."""
-    free, out = np.ones(overlap.shape[1], bool), []
-    for i in range(len(overlap)):
-        if not free.any():
-            break
-        row = np.where(free, overlap[i], -1.0)
-        j = len(row) - 1 - int(np.argmax(row[::-1]))
-        if row[j] >= least:
-            free[j] = False
-            out.append((i, j, float(row[j])))
-    return out
+    rows, columns = np.nonzero(overlap >= least)
+    return _pick(rows, columns, overlap[rows, columns], True)
 
 
 def first_fit(overlap: np.ndarray, over: float = FIRST_FIT) -> list[tuple[int, int, float]]:
     """Each row in turn takes the first free column whose overlap is over the limit."""
-    free, out = np.ones(overlap.shape[1], bool), []
-    for i in range(len(overlap)):
-        hit = np.flatnonzero(free & (overlap[i] > over))
-        if len(hit):
-            free[hit[0]] = False
-            out.append((i, int(hit[0]), float(overlap[i, hit[0]])))
-    return out
+    rows, columns = np.nonzero(overlap > over)
+    return _pick(rows, columns, overlap[rows, columns], False)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, best: bool, limit: float) -> list[tuple[int, int, float]]:
+    """Pairs of boxes by ``greedy`` or ``first_fit``; of the matrix only some rows are held at once, and then what passes the limit."""
+    part, found = max(1, CELLS // max(1, len(b))), []
+    for i in range(0, len(a), part):
+        overlap = iou_matrix(a[i : i + part], b)
+        rows, columns = np.nonzero(overlap >= limit if best else overlap > limit)
+        found.append((rows + i, columns, overlap[rows, columns]))
+    return _pick(*(np.concatenate(x) for x in zip(*found, strict=True)), best) if found else []
+
+
+_CORNERS = ["x1", "y1", "x2", "y2"]
+
 
+def _paired(table: pa.Table, best: bool, limit: float) -> Iterator[tuple[int, int, int, int, list[tuple[int, int, float]]]]:
+    """(page, first row of ours, of the reference, end, pairs) of each page in a table of whole pages."""
+    page, side = table.column("page_id").to_numpy(), table.column("side").to_numpy()
+    box = np.stack([table.column(c).to_numpy().astype(float) for c in _CORNERS], axis=1)
+    for i, j in pairwise(edges(page)):
+        k = i + int(np.searchsorted(side[i:j], 1))
+        yield int(page[i]), i, k, j, _pairs(box[i:k], box[k:j], best, limit)
 
-def _matched(ours: DataFrame, reference: DataFrame, how, limit: float) -> DataFrame:
+
+def _side(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("page_id", F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in _CORNERS], *more)
+
+
+def _matched(ours: DataFrame, reference: DataFrame, best: bool, limit: float) -> DataFrame:
     """Both sides: page_id, id, x1, y1, x2, y2; order within a page is that of id."""
-    corners = ["x1", "y1", "x2", "y2"]
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("id"), right.sort_values("id")
-        pairs = how(iou_matrix(left[corners].to_numpy(float), right[corners].to_numpy(float)), limit) if len(left) and len(right) else []
-        page = left["page_id"].iloc[0] if len(left) else 0
-        return pd.DataFrame({
-            "page_id": np.full(len(pairs), page, np.int64), "our_id": left["id"].to_numpy()[[i for i, _, _ in pairs]].astype(np.int64) if pairs else np.empty(0, np.int64),
-            "ref_id": right["id"].to_numpy()[[j for _, j, _ in pairs]].astype(np.int64) if pairs else np.empty(0, np.int64), "overlap": np.array([v for _, _, v in pairs], float),
-        })
+    def kernel(table: pa.Table) -> list[tuple]:
+        ids = table.column("id").to_pylist()
+        return [(page, ids[i + a], ids[k + b], v) for page, i, k, _, pairs in _paired(table, best, limit) for a, b, v in pairs]
 
-    keep = ["page_id", "id", *corners]
-    return ours.select(keep).groupBy("page_id").cogroup(reference.select(keep).groupBy("page_id")).applyInPandas(kernel, "page_id long, our_id long, ref_id long, overlap double")
+    return by_page([_side(ours), _side(reference)], ["id", *_CORNERS], kernel, "page_id long, our_id long, ref_id long, overlap double")
 
 
 def iou_match(ours: DataFrame, reference: DataFrame, least: float = MATCH) -> DataFrame:
-    """One-to-one pairs by greedy best overlap; the kernel holds one page."""
-    return _matched(ours, reference, greedy, least)
+    """One-to-one pairs by greedy best overlap; the kernel holds whole pages."""
+    return _matched(ours, reference, True, least)
 
 
 def first_fit_match(truth: DataFrame, found: DataFrame, over: float = FIRST_FIT) -> DataFrame:
-    return _matched(truth, found, first_fit, over)
+    return _matched(truth, found, False, over)
+
+
+def compared(ours: DataFrame, reference: DataFrame, least: float = MATCH) -> DataFrame:
+    """``page_report`` of the pairs that ``iou_match`` finds, in the same pass over the pages; both sides have ``text``."""
+
+    def kernel(table: pa.Table) -> list[tuple]:
+        text, out = table.column("text").to_pylist(), []
+        for page, i, k, j, pairs in _paired(table, True, least):
+            told = [(text[i + a], text[k + b]) for a, b, _ in pairs]
+            differ = [{"ours": x, "reference": y} for x, y in told if x is not None and y is not None and x != y]
+            out.append((page, j - k, k - i, len(told), sum(x is not None and x == y for x, y in told), differ))
+        return out
+
+    schema = "page_id long, reference long, ours long, matched long, exact long, diffs array<struct<ours:string,reference:string>>"
+    return by_page([_side(ours, "text"), _side(reference, "text")], ["id", *_CORNERS], kernel, schema)
 
 
 def dont_care(found: DataFrame, ignored: DataFrame, over: float = DONT_CARE) -> DataFrame:
