@@ -1,4 +1,4 @@
-"""Polygon measures that need clipping or fitting; numpy on one polygon at a time, convex polygons alone."""
+"""Polygon measures that need clipping or fitting; numpy, convex polygons alone."""
 
 from __future__ import annotations
 
@@ -86,6 +86,73 @@ def rotated_iou(a: np.ndarray, b: np.ndarray, over: str = "union") -> float:
     return common / (area(p) + area(q) - common if over == "union" else min(area(p), area(q)))
 
 
+def _cross(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
+
+
+def least_rectangles(quads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of many quadrilaterals (n, 4, 2) those whose corners all turn one way, and ``least_rectangle`` of each of them."""
+    side = np.roll(quads, -1, axis=1) - quads
+    turn = _cross(side, np.roll(side, -1, axis=1))
+    kept = np.flatnonzero((turn > 0).all(1) | (turn < 0).all(1))
+    h = np.where((turn[kept, 0] > 0)[:, None, None], quads[kept], quads[kept, ::-1])
+    first = np.lexsort((h[..., 1], h[..., 0]), axis=1)[:, :1]  # the hull begins at the least corner
+    h = np.take_along_axis(h, ((first + np.arange(4)) % 4)[..., None], axis=1)
+    best, out = np.full(len(h), np.inf), np.zeros_like(h)
+    for k in range(4):
+        edge = h[:, (k + 1) % 4] - h[:, k]
+        u = edge / np.hypot(edge[:, 0], edge[:, 1])[:, None]
+        v = np.stack([-u[:, 1], u[:, 0]], axis=1)
+        s, t = (h * u[:, None]).sum(2), (h * v[:, None]).sum(2)
+        s, t = np.stack([s.min(1), s.max(1)], axis=1), np.stack([t.min(1), t.max(1)], axis=1)
+        size = (s[:, 1] - s[:, 0]) * (t[:, 1] - t[:, 0])
+        less = size < best - 1e-9
+        corner = u[:, None] * s[:, [0, 1, 1, 0], None] + v[:, None] * t[:, [0, 0, 1, 1], None]
+        best, out = np.where(less, size, best), np.where(less[:, None, None], corner, out)
+    return kept, out
+
+
+def areas(p: np.ndarray) -> np.ndarray:
+    """Of many polygons (n, corners, 2)."""
+    return np.abs(_cross(p, np.roll(p, -1, axis=1)).sum(1)) / 2
+
+
+def common_areas(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Areas that pairs of quadrilaterals have in common, the windows' corners turning as ``least_rectangle`` gives them; ``clipped`` for many pairs."""
+    held, count = subject, np.full(len(subject), 4)
+    for k in range(4):
+        a, b = window[:, k, None], window[:, (k + 1) % 4, None]
+        place = np.arange(held.shape[1])
+        after = np.take_along_axis(held, np.where(place + 1 < count[:, None], place + 1, 0)[..., None], axis=1)
+        sp, sq = _cross(b - a, held - a), _cross(b - a, after - a)
+        real, across = place < count[:, None], (sp >= 0) != (sq >= 0)
+        t = np.divide(sp, sp - sq, out=np.zeros_like(sp), where=across)
+        made = np.stack([held, held + t[..., None] * (after - held)], axis=2).reshape(len(held), 2 * held.shape[1], 2)
+        there = np.stack([real & (sp >= 0), real & across], axis=2).reshape(len(held), 2 * held.shape[1])
+        count = there.sum(1)
+        order = np.argsort(~there, axis=1, kind="stable")[:, : max(1, int(count.max(initial=0)))]
+        held = np.take_along_axis(made, order[..., None], axis=1)
+        held = np.where((np.arange(held.shape[1]) < count[:, None])[..., None], held, held[:, :1])
+    return np.where(count > 2, areas(held), 0.0)
+
+
+def rotated_ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``rotated_iou`` of many pairs (n, 4, 2); what is not strictly convex goes one by one."""
+    out, left, right = np.zeros(len(a)), np.full(len(a), -1), np.full(len(a), -1)
+    (i, p), (j, q) = least_rectangles(a), least_rectangles(b)
+    left[i], right[j] = np.arange(len(i)), np.arange(len(j))
+    both = (left >= 0) & (right >= 0)
+    for k in np.flatnonzero(~both).tolist():
+        out[k] = rotated_iou(a[k], b[k])
+    at = np.flatnonzero(both)
+    p, q = p[left[at]], q[right[at]]
+    near = ~((p.max(1) <= q.min(1)).any(1) | (q.max(1) <= p.min(1)).any(1))
+    at, p, q = at[near], p[near], q[near]
+    common = common_areas(p, q)
+    out[at] = common / (areas(p) + areas(q) - common)
+    return out
+
+
 def rotated_overlaps(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Keys and ``iou`` of pairs of quadrilaterals ax1..ay4 and bx1..by4."""
     names = [[f"{s}{c}{k}" for k in range(1, 5) for c in "xy"] for s in "ab"]
@@ -93,7 +160,7 @@ def rotated_overlaps(pairs: DataFrame, keys: list[str]) -> DataFrame:
     def kernel(batches):
         for rows in batches:
             a, b = (rows[n].to_numpy(float).reshape(-1, 4, 2) for n in names)
-            yield rows[keys].assign(iou=[rotated_iou(p, q) for p, q in zip(a, b, strict=True)])
+            yield rows[keys].assign(iou=rotated_ious(a, b))
 
     kinds = ", ".join(f"{k} long" for k in keys)
     return pairs.select(*[F.col(k).cast("long").alias(k) for k in keys], *names[0], *names[1]).mapInPandas(kernel, f"{kinds}, iou double")

@@ -91,3 +91,23 @@ def test_boxes_from_bitmap():
     assert score == pytest.approx(0.8)
     assert sorted(map(tuple, corners.tolist())) == sorted((x, y) for x in (round(4 - d), round(13 + d)) for y in (round(5 - d), round(9 + d)))
     assert math.isclose(d, 36 * 1.5 / 26)
+
+
+def test_many_rotated_ious_equal_one_by_one(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    made = []
+    for n in range(400):
+        x, y, w, h = (int(v) for v in rng.integers((0, 0, 5, 5), (60, 60, 50, 50)))
+        s, t = (int(v) for v in rng.integers(-4, 5, 2))
+        quad = np.array([[x, y], [x + w, y + s], [x + w + t, y + h + s], [x + t, y + h]], float)
+        made.append(quad[::-1] if n % 3 == 0 else np.roll(quad, n % 4, axis=0))
+    made[7], made[8] = made[7][[0, 0, 2, 3]], np.array([[0, 0], [4, 0], [8, 0], [4, 9]], float)  # three corners; one on a side
+    made[9] = np.array([[0, 0], [10, 10], [10, 0], [0, 10]], float)  # crossing sides
+    a, b = np.array(made[:200] + made[:50]), np.array(made[200:] + made[:50])
+    want = [polygons.rotated_iou(p, q) for p, q in zip(a, b, strict=True)]
+    assert polygons.rotated_ious(a, b) == pytest.approx(want, abs=1e-9) and 50 < sum(v > 0 for v in want) < 240
+    monkeypatch.setattr(polygons, "rotated_iou", None)
+    assert len(polygons.rotated_ious(a[100:200], b[100:200])) == 100
+    assert len(polygons.rotated_ious(a[:0], b[:0])) == 0
