@@ -189,8 +189,7 @@ v_report AS (
 
 
 def _report(f: Fixtures) -> DataFrame:
-    ours, reference = _sides(f)
-    return evaluate.page_report(ours, reference, evaluate.iou_match(ours, reference))
+    return evaluate.compared(*_sides(f))
 
 
 @R.add(f"{_EVAL} SELECT * FROM v_report")
