@@ -14,7 +14,7 @@ def test_a_page_may_span_batches():
     assert runs.edges(np.array([1, 1, 2]), np.array([5, 6, 6])) == [0, 1, 2, 3] and runs.edges(np.array([])) == [0]
 
 
-@pytest.mark.parametrize("name", ["page_layout", "merge_lines", "split_blocks", "nms", "iou_match", "first_fit_match", "eval_page"])
+@pytest.mark.parametrize("name", ["page_layout", "merge_lines", "split_blocks", "nms", "iou_match", "first_fit_match", "eval_page", "eval_total"])
 def test_many_pages_in_a_batch(name, spark, sf_dir):
     """No pandas frame for each page."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
